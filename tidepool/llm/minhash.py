@@ -4,19 +4,20 @@ Each text becomes the set of its distinct 5-word shingles. 128 minima are cut in
 candidates, and their low 4 bits are packed into eight longs. Texts with the same shingle set are one
 class, so exact copies never meet. Candidates:
 
-1. In every band bucket each class is paired with the bucket's representative (a star, not all
-   pairs); each class keeps its best partner by the collision-corrected estimate
-   ``(matches / 128 - 1/16) / (1 - 1/16)``. Pairs are confirmed on the full sets, and components
-   of the links are formed.
-2. Where members of a bucket are still in different components, all such pairs are tried: every
-   class outside the bucket's largest component against the others. So no link between the texts of
-   a bucket is lost, while groups that hang together cost one pair a member.
+1. In every band bucket whose classes are in several components, each class outside the largest is
+   paired with one leader of it (a star, not all pairs), at first the class whose minima are the most
+   common, then others by chance. Pairs need enough equal low bits: the collision-corrected estimate
+   is ``(matches / 128 - 1/16) / (1 - 1/16)``. They are confirmed on the full sets, and components of
+   the links are formed. This is repeated while it finds links.
+2. The classes of buckets that are then still in several components are joined exactly, by prefix
+   filtering on their shingles in order of frequency, so no link between the texts of a bucket is
+   lost; pairs within a component are not tried.
 
 A pair with similarity 0.85 misses all bands with a chance of 1e-6, and falls below the bit-count
 threshold (90 of 128 matches; 110 are expected) with about as much.
 
 Scale: every text is read once, and those of candidate pairs a second time. What is shuffled is 25
-band keys a class, pairs, and the shingle sets of classes in pairs. Hot buckets are joined by keys
+band keys a class, pairs, and the shingle sets of classes in pairs or in unsettled buckets. Hot buckets are joined by keys
 that adaptive execution splits; nothing is collected.
 
 Defined cases: a text of fewer than 5 words is one shingle of all its words; null texts and texts
@@ -42,6 +43,7 @@ shipped(__name__)
 
 SHINGLE, PERMS, BANDS, ROWS, BITS = 5, 128, 25, 5, 4
 MIN_MATCHES = 90
+MIN_ROUNDS, MAX_ROUNDS = 2, 8
 _A = mix(np.arange(1, PERMS + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 _B = mix(np.arange(1, PERMS + 1, dtype=U) * U(0xC2B2AE3D27D4EB4F))
 _BAND = mix(np.arange(1, BANDS + 1, dtype=U))
@@ -146,27 +148,57 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
     reps = store.cut(reps.dropDuplicates(["s1", "s2"]).select("cls", "s1", "s2", F.col("n_shingles").alias("n"), "bands", "packed"), "reps")
 
     band = reps.select("cls", F.explode("bands").alias("key"))
-    lead = band.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "cls").alias("h"), "cls")).alias("r"), F.count("*").alias("c")).where("c > 1")
-    bucket = store.cut(band.join(lead.select("key", F.col("r.cls").alias("rep")), "key"), "buckets")
-    star = _likely(bucket.where("cls <> rep").select(F.col("cls").alias("a"), F.col("rep").alias("b")).distinct(), reps, percent)
-    best = star.groupBy("a").agg(F.max_by("b", F.struct("m", "b")).alias("b"))
-    links = store.cut(_confirmed(store, best, reps, rows, percent, "sets1"), "links1")
-
-    comp = components(store, links, "cc1")
-    comp = store.cut(reps.select("cls").join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("comp")), "comp1")
-    inside = bucket.select("key", "cls").join(comp, "cls")
-    sizes = inside.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1").select("key", "main")
-    mixed = store.cut(inside.join(main, "key"), "mixed")
-    out, all_in = mixed.where("comp <> main").select("key", F.col("cls").alias("a"), F.col("comp").alias("ca")), mixed.select("key", F.col("cls").alias("b"), F.col("comp").alias("cb"), "main")
-    cross = out.join(all_in, "key").where("ca <> cb and (cb = main or a < b)").select("a", "b").distinct()
-    more = store.cut(_confirmed(store, _likely(cross, reps, percent), reps, rows, percent, "sets2"), "links2")
-
-    comp = components(store, links.union(more), "cc2").select(F.col("node").alias("cls"), "component")
+    several = band.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    bucket = store.cut(band.join(several, "key"), "buckets")
+    # How common a class's minima are: the text from which others were made has the highest weight.
+    weight = store.cut(bucket.groupBy("cls").agg(F.sum("c").alias("w")), "weights")
+    bucket = store.cut(bucket.select("key", "cls").join(weight, "cls"), "weighted")
+    links, comp, old = None, weight.select("cls", F.col("cls").alias("comp")), []
+    for r in range(MAX_ROUNDS):
+        mixed = store.cut(_mixed(bucket, comp), f"mixed{r}")
+        star = mixed.where("comp <> lead.comp").select(F.col("cls").alias("a"), F.col("lead.cls").alias("b"))
+        star = _likely(star.distinct(), reps, percent)
+        if r == 0:
+            star = star.groupBy("a").agg(F.max_by("b", F.struct("m", "b")).alias("b"))
+        new = store.cut(_confirmed(store, star, reps, rows, percent, f"sets{r}"), f"links{r}")
+        found = new.count()
+        links = new if links is None else links.union(new)
+        if found or r == 0:
+            comp = components(store, links, f"cc{r}-")
+            comp = store.cut(weight.select("cls").join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("comp")), f"comp{r}")
+            bucket = _still_mixed(bucket, comp)
+        for name in old:
+            store.drop(name)
+        old = [f"mixed{r}", f"sets{r}"]
+        bucket = store.cut(bucket.withColumn("w", F.xxhash64("key", "cls", F.lit(r))), f"buckets{r}")
+        if r >= MIN_ROUNDS - 1 and found * 20 <= links.count():
+            break
+
+    left = store.cut(bucket.select("cls").distinct(), "left")
+    sets = _sets_of(store, left, reps, rows, "sets")
+    cross = store.cut(_prefix_pairs(sets, comp, percent), "cross")
+    more = store.cut(_similar(_likely(cross, reps, percent).select("a", "b"), sets, percent), "links")
+
+    comp = components(store, links.union(more), "cc").select(F.col("node").alias("cls"), "component")
     out = member.join(comp, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component", "cls", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("component_id").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def _still_mixed(bucket: DataFrame, comp: DataFrame) -> DataFrame:
+    """Rows of the buckets whose classes are in several components."""
+    keys = bucket.join(comp, "cls").groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
+    return bucket.join(keys.select("key"), "key")
+
+
+def _mixed(bucket: DataFrame, comp: DataFrame) -> DataFrame:
+    """``key, cls, comp`` and the bucket's ``lead(comp, cls)``: of the component with most members, the
+    class with the highest weight. Grouped maxima only."""
+    inside = bucket.join(comp, "cls")
+    per = inside.groupBy("key", "comp").agg(F.count("*").alias("c"), F.max(F.struct("w", "cls")).alias("top"))
+    lead = per.groupBy("key").agg(F.max(F.struct("c", "top", "comp")).alias("x"))
+    return inside.select("key", "cls", "comp").join(lead.select("key", F.struct(F.col("x.comp").alias("comp"), F.col("x.top.cls").alias("cls")).alias("lead")), "key")
+
+
 def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sizes allow the similarity and whose low bits match often enough, with ``m``."""
     side = lambda x: reps.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("packed").alias(f"p{x}"))
@@ -175,15 +207,47 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return both.where(fits).withColumn("m", matches(F.col("pa"), F.col("pb"))).where(F.col("m") >= MIN_MATCHES).select("a", "b", "m")
 
 
-def _confirmed(store: Scratch, pairs: DataFrame, reps: DataFrame, rows: DataFrame, percent: int, name: str) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    pairs = store.cut(pairs.select("a", "b"), f"{name}-pairs")
-    ids = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    ids = store.cut(ids, f"{name}-ids")
-    texts = attach(rows, ids.select(F.col("cls").alias("doc_id")), ["doc_id"], "left_semi", salted=False)
+def _sets_of(store: Scratch, classes: DataFrame, reps: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """``cls, shingles`` of the classes, from their texts."""
+    texts = attach(rows, classes.select(F.col("cls").alias("doc_id")), ["doc_id"], "left_semi", salted=False)
     sets = texts.select("doc_id", "text").mapInArrow(_sets, SETS)
-    named = sets.join(reps.select("s1", "s2", "cls"), ["s1", "s2"]).dropDuplicates(["s1", "s2"]).select("cls", "shingles")
-    named = store.cut(named, name)
-    both = pairs.join(named.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a").join(named.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")
+    return store.cut(sets.join(reps.select("s1", "s2", "cls"), ["s1", "s2"]).dropDuplicates(["s1", "s2"]).select("cls", "shingles"), name)
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
+    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.select("a", "b", common.alias("i"), (F.size("sa") + F.size("sb") - common).alias("u")).where(100 * F.col("i") >= percent * F.col("u")).select("a", "b")
+
+
+def _confirmed(store: Scratch, pairs: DataFrame, reps: DataFrame, rows: DataFrame, percent: int, name: str) -> DataFrame:
+    pairs = store.cut(pairs.select("a", "b"), f"{name}-pairs")
+    ids = store.cut(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct(), f"{name}-ids")
+    return _similar(pairs, _sets_of(store, ids, reps, rows, name), percent)
+
+
+def _prefix_pairs(sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """All pairs of classes of different components that can be similar enough, by prefixes.
+
+    With shingles in order of their frequency among these classes, similar sets share one of the first
+    ``n - ceil(percent * n / 100) + 1`` of each, and what is left after the first shared one must be
+    enough. Shingles of one class take places but meet nothing, so texts that were each changed in
+    several places meet few others. Every prefix key with several components pairs the classes
+    outside its largest with the others.
+    """
+    flat = sets.select("cls", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+    df = flat.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    known = flat.join(df, "key").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("ks"))
+    first = F.col("n") - F.size("ks")
+    take = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("int") + 1 - first
+    prefix = known.where(take > 0).select("cls", "n", F.posexplode(F.slice("ks", F.lit(1), take)).alias("i", "k"), first.alias("first"))
+    prefix = prefix.select(F.col("k.key").alias("key"), "cls", "n", (F.col("n") - F.col("first") - F.col("i")).alias("rest")).join(comp, "cls")
+    sizes = prefix.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"), F.count("*").alias("k")).where("k > 1").select("key", "main")
+    some = prefix.join(main, "key")
+    a = some.where("comp <> main").select("key", *[F.col(c).alias(f"{c}_a") for c in ("cls", "n", "rest", "comp")])
+    b = some.select("key", "main", *[F.col(c).alias(f"{c}_b") for c in ("cls", "n", "rest", "comp")])
+    fits = (F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")) & (F.least("rest_a", "rest_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
+    met = a.join(b, (a["key"] == b["key"]) & F.expr("comp_a <> comp_b and (comp_b = main or cls_a < cls_b)") & fits)
+    return met.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
