@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, linededup, minhash, mixing, quality, substring
+from . import chat, decontam, langid, licenses, linededup, minhash, mixing, pii, quality, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,21 @@ def op3_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymize(table(spark, sf_dir, "documents"), "example key", count_col="n_replaced")
+    return out.select("doc_id", "text", "n_replaced")
+
+
+def op5_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = langid.identify(spark, table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+    return out.withColumn("confidence", F.round("confidence", 6))
+
+
+def op6_license_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(spark, licenses.page_files(table(spark, sf_dir, "pages")))
+    return out.withColumnRenamed("id", "page_id").withColumn("own_score", F.round("own_score", 6))
+
+
 def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(spark, table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -52,5 +67,8 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_pareto_mix, op2_distribution_divergence, op3_positional_index, op7_line_chunks, op8_minhash, op9_recompression, op10_chat_windows)
-}
+    for f in (
+        op1_pareto_mix, op2_distribution_divergence, op3_positional_index, op4_pseudonyms, op5_language_evidence,
+        op6_license_inheritance, op7_line_chunks, op8_minhash, op9_recompression, op10_chat_windows,
+    )
+}
