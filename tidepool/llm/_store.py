@@ -6,28 +6,15 @@ executor can read), so a lost executor costs a re-read and never a recomputation
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only if it was counted and has at most this many rows ...
-BROADCAST_ROWS = 200_000
-#: ... otherwise the other side is spread over this many copies of each row of the small side.
-SALTS = 16
-
+from ..sources.storage import BROADCAST_ROWS, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a folder of our own only where none is named, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = os.path.join(tempfile.gettempdir(), "checkpoints")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
+#: Copies of each row of a side that is too large for a broadcast (see ``attach``).
+SALTS = 16
 
 
 class Scratch:
