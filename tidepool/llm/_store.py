@@ -53,7 +53,7 @@ def attach(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner"
         right = F.broadcast(small)
     elif salted:
         left = big.withColumn("_salt", F.pmod(F.xxhash64(*[big[c] for c in big.columns[:4]], F.monotonically_increasing_id()), F.lit(SALTS)))
-        right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         on = [*keys, "_salt"]
     right = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
     cond = F.lit(True)
@@ -90,7 +90,7 @@ def components(store: Scratch, edges: DataFrame, name: str = "cc", max_rounds: i
         mark = new
     else:
         raise RuntimeError("connected components did not converge")
-    return cur.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    return cur.select("a", "b").union(cur.select("b", "b")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
 
 
 def _mark(edges: DataFrame) -> tuple:

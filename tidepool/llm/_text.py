@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: ASCII white space, as in ``[^\x20\x09-\x0D]+``.
@@ -46,3 +46,8 @@ def unit_hash(seed: int, value: Column) -> Column:
     """A number in (0, 1) that is fixed by the seed and the value, from 52 bits of a digest."""
     digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(value.cast("string"), F.lit(""))))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct ``_row``, so that their names cannot clash with an operator's own."""
+    return F.struct(*[df[f"`{c}`"].alias(c) for c in df.columns]).alias("_row")

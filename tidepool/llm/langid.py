@@ -101,7 +101,7 @@ def evidence(pages: DataFrame, langs: list[str]) -> DataFrame:
     declared = F.lower(F.regexp_extract(html, r"""(?is)<html\b[^>]*\blang\s*=\s*["']?([A-Za-z]+)""", 1))
     last = F.substring_index(host, ".", -1)
     return pages.select(
-        "page_id", host.alias("host"), F.when(F.size(F.split(host, r"\.")) > 2, F.substring_index(host, ".", -2)).otherwise(host).alias("domain"),
+        F.col("page_id").cast("long").alias("page_id"), host.alias("host"), F.when(F.size(F.split(host, r"\.")) > 2, F.substring_index(host, ".", -2)).otherwise(host).alias("domain"),
         declared.alias("declared"), F.coalesce(named, F.when(host == "", F.lit("")).otherwise(F.concat(F.lit("."), last))).alias("suffix"), visible(F.col("html")).alias("text"),
     )
 

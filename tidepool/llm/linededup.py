@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._store import Scratch, attach
-from ._text import let
+from ._text import let, whole_row
 
 _PLACE = 1 << 31  # a chunk is the number first_line * _PLACE + lines
 
@@ -72,18 +72,19 @@ def repeated_chunks(store: Scratch, rows: DataFrame, mean_lines: int, min_lines:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mean_lines: int = 3) -> DataFrame:
-    """The rows of ``docs`` with repeated chunks taken out of the text, and ``_lines, _removed``."""
+    """The rows of ``docs`` with repeated chunks taken out of the text, and ``_lines, _removed`` (input
+    columns of these two names are replaced)."""
     store = Scratch(spark, "lines")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     gone = store.cut(repeated_chunks(store, rows, mean_lines), "gone")
     gone = gone.select(F.struct(F.col("doc_id"), F.col("th")).alias("_key"), F.col("spans").alias("_spans"))
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].alias("_id"), docs[text_col].alias("_text"))
+    whole = docs.select(whole_row(docs), docs[id_col].alias("_id"), docs[text_col].alias("_text"))
     both = whole.join(gone, whole["_id"].eqNullSafe(gone["_key.doc_id"]) & (F.xxhash64("_text") == gone["_key.th"]), "left")
     lines = F.split("_text", "\n")
     keep = let(lines, lambda a: F.array_join(F.flatten(F.transform(F.array_except(chunk_spans(a, mean_lines), F.col("_spans")), lambda s: _of(a, s))), "\n"))
     text = F.when(F.col("_spans").isNull(), F.col("_text")).otherwise(keep)
     removed = F.coalesce(F.aggregate("_spans", F.lit(0).cast("long"), lambda x, s: x + F.pmod(s, F.lit(_PLACE))), F.lit(0).cast("long"))
     return both.select(
-        *[text.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns],
+        *[text.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns if c not in ("_lines", "_removed")],
         F.coalesce(F.size(lines).cast("long"), F.lit(0).cast("long")).alias("_lines"), removed.alias("_removed"),
     )

@@ -12,7 +12,8 @@ Scale: a projection; nothing is shuffled, joined or broadcast.
 
 Defined cases: null texts stay null; texts without candidates, and candidates that fail validation,
 stay as they are. Rows are rewritten one by one, so repeated rows get equal texts. Other columns are
-kept; the counts are in a column whose name the caller gives.
+kept; the counts are in a column whose name the caller gives (an input column of that name is
+replaced).
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._text import let
+from ._text import let, whole_row
 
 ROUNDS, WALK = 10, 128
 DIGITS, HEX, LETTERS, CODES = "0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
@@ -187,6 +188,6 @@ def pseudonymize(docs: DataFrame, key: str, *, text_col: str = "text", count_col
 
     same = F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"))
     result = F.when(text.rlike("[0-9@]"), let(F.regexp_extract_all(text, F.lit(ANY), 0), lambda m: F.when(F.size(m) > 0, rebuilt(m)).otherwise(same))).otherwise(same)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), result.alias("_new"))
-    own = [F.col("_new.text").alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns]
+    rows = docs.select(whole_row(docs), result.alias("_new"))
+    own = [F.col("_new.text").alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns if c != count_col]
     return rows.select(*own, *([F.col("_new.n").alias(count_col)] if count_col else []))

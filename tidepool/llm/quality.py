@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._store import Scratch
-from ._text import let, words
+from ._text import let, whole_row, words
 
 # Common words of each language.
 COMMON = {
@@ -122,7 +122,7 @@ def js_distance(p: Column, q: Column) -> Column:
 def features(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """What the verdict needs of each document, and its whole row as ``_row``."""
     t = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].alias("doc_id"), t.alias("_text"), docs[lang_col].alias("_lang"))
+    rows = docs.select(whole_row(docs), docs[id_col].alias("doc_id"), t.alias("_text"), docs[lang_col].alias("_lang"))
     return rows.select(
         "_row", "doc_id", "_lang",
         F.length("_text").cast("long").alias("_chars"),
