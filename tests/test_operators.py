@@ -164,3 +164,64 @@ def test_queries_have_sql():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 80
+
+
+def test_encoders(spark, tiny):
+    from tidepool.operators import encoders
+
+    v = encoders.vector_index(tiny, names=["alpha", "beta", "city"])
+    assert v.count() == 6 and encoders.vector_index(tiny, names=["alpha", "beta", "city"]).count() == 6
+    q = encoders.query_vectors(spark, spark.createDataFrame([("foo", " "), ("bar", None)], "n string, blank string"))
+    assert [r.query_col for r in q.collect()] == [0]
+    top = Engine(tiny, v).run(N.SemanticUnion(vectors=q, k=2, rollup="max_pool")).orderBy("rank").first()
+    assert top.table_id == 0
+    with pytest.raises(ValueError):
+        encoders.query_vectors(spark, spark.createDataFrame([("x", "y")], "a string, A string"))
+    with pytest.raises(KeyError):
+        encoders.get("nothing")
+    with pytest.raises(ValueError):
+        encoders.register("hashing", encoders.hashing)
+
+
+def test_experiments(spark, tiny):
+    from tidepool.plans import experiments as x
+
+    e = Engine(tiny)
+    m = x.Matrix({("t", "ok"): lambda: spark.range(3), ("t", "bad"): lambda: 1 / 0}, 1)
+    assert [r["rows"] for r in m.run()] == [3] and m.skipped[0][:2] == ("t", "bad")
+    run = spark.createDataFrame([(0, 0, "a"), (0, 1, "b")], "query int, rank int, item string")
+    other = spark.createDataFrame([(0, 0, "c")], "query int, rank int, item string")
+    truth = spark.createDataFrame([(0, "c")], "query int, item string")
+    s = {r.weight: r.recall for r in x.fusion_sweep(run, other, truth, 1).collect()}
+    assert s[0.0] == 0.0 and s[1.0] == 1.0
+    d = x.difficulty(spark.createDataFrame([(0, 1.0), (1, 0.0)], "query int, recall double"), spark.createDataFrame([(0, 0.5), (2, 0.5)], "query int, recall double"))
+    assert {r.query: r.bucket for r in d.collect()} == {0: "both", 1: "neither", 2: "exact"}
+    for node in x.column_variants(e, tiny.frames["city"], 2).values():
+        assert e.ids(node)[0] == 2
+    ex = spark.createDataFrame([("berlin", "germany")], "k string, v string")
+    tr = spark.createDataFrame([("paris", "france")], "k string, v string")
+    legs = {(r.leg, r.k): r.accuracy for r in x.imputation_legs(e, ex, tr.select("k"), tr, [1]).collect()}
+    assert legs == {("rows", 1): 1.0, ("keys", 1): 1.0, ("both", 1): 1.0}
+    got = x.calibrate(tiny, {"Keyword": [N.Keyword(["foo"])]}, e)
+    assert x.cost_report(got).first().cost == 1
+    assert x.evaluate(run, truth, [1, 2]).count() == 2
+    assert set(x.assisted(e, N.SingleColumn(["foo"], k=2), ["foo"], 2)) == {"alone", "within", "with", "without"}
+    hits = spark.createDataFrame([(0, 0, i, t, i / 10) for i, t in enumerate([1, 2, 2, 3])], "query int, query_col int, r int, table_id int, distance double")
+    grid = {(r.fetch, r.vote): (r.recall, r.full) for r in x.depth_grid(hits, spark.createDataFrame([(0, 3)], "query int, item int"), [2, 4, 9], [2, 4], 3).collect()}
+    assert grid == {(2, 2): (0.0, 1.0), (4, 2): (0.0, 1.0), (4, 4): (1.0, 1.0), (9, 2): (0.0, 0.0), (9, 4): (1.0, 0.0)}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tidepool.__main__ import main
+
+    d = tmp_path / "csvs"
+    d.mkdir()
+    (d / "a.csv").write_text("s,t\nfoo,1\nbar,2\n")
+    (d / "b.csv").write_text("s\nfoo\n")
+    base = [str(d), "--index", str(tmp_path / "index")]
+    main(["ingest", *base])
+    main(["keyword", *base, "--values", "foo,bar"])
+    main(["union", *base, "--table", "b.csv"])
+    main(["types", *base])
+    out = capsys.readouterr().out
+    assert "5 cells of 2 tables; copies agree: True" in out and "a.csv" in out

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from .functions.tokens import signature, token, tokens_of
 from .functions.vectors import code, normalise
-from .operators import imputation, metrics, profiling, rollup, seekers, setops, vectors
+from .operators import encoders, imputation, metrics, profiling, rollup, seekers, setops, vectors
 from .operators.filters import IdFilter
-from .plans import correctness, costs, tasks
+from .plans import correctness, costs, experiments, tasks
 from .plans import nodes as N
 from .plans.plan import Plan
 from .plans.planner import Engine, Options
@@ -652,6 +652,42 @@ def hit_pairs(spark, d):
     return metrics.hit_pairs(truth, run)
 
 
+_SWEEP = f"""WITH {_RUN}, r2 AS (SELECT c_mktsegment AS query, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey DESC) - 1 AS rank, c_custkey AS item FROM customer), w AS (SELECT i / 10.0 AS weight FROM range(0, 11) x(i)),
+a AS (SELECT query, rank, item, 0 AS leg FROM run WHERE rank < 40 UNION ALL SELECT query, rank, item, 1 FROM r2 WHERE rank < 40),
+s AS (SELECT weight, query, item, sum(CASE leg WHEN 1 THEN weight ELSE 1 - weight END / (60 + rank)) AS score, min(leg * 1000 + rank) AS f FROM a, w GROUP BY 1, 2, 3 HAVING sum(CASE leg WHEN 1 THEN weight ELSE 1 - weight END / (60 + rank)) > 0),
+t AS (SELECT *, row_number() OVER (PARTITION BY weight, query ORDER BY score DESC, f, item) AS r FROM s),
+h AS (SELECT weight, t.query, count(*) AS h FROM t JOIN tru ON tru.query = t.query AND tru.item = t.item WHERE r <= 10 GROUP BY 1, 2)
+SELECT weight, round(avg(coalesce(h, 0) / n_rel), 6) AS recall FROM n CROSS JOIN w LEFT JOIN h USING (weight, query) GROUP BY 1"""
+
+
+@query(_SWEEP)
+def fusion_weight_sweep(spark, d):
+    run, truth = run_and_truth(spark, d)
+    c = read(spark, d, "customer")
+    w = Window.partitionBy("c_mktsegment").orderBy(F.desc("c_custkey"))
+    other = c.select(F.col("c_mktsegment").alias("query"), (F.row_number().over(w) - 1).alias("rank"), F.col("c_custkey").alias("item")).where("rank < 40")
+    return experiments.fusion_sweep(run, other, truth, 10).withColumn("recall", F.round("recall", 6))
+
+
+@query()
+def depth_grid(spark, d):
+    hits = vectors.nearest(_queries(spark, d, "global_id < 12"), vector_table(spark, d), 40).select(F.col("query_col").alias("query"), "query_col", "r", "table_id", (-F.col("similarity")).alias("distance"))
+    truth = vector_table(spark, d).where("global_id < 12").select(F.col("colid").alias("query"), ((F.col("table_id") + 1) % 5).alias("item"))
+    return experiments.depth_grid(hits, truth, [10, 20, 40], [5, 10, 20], 3)
+
+
+@query()
+def ann_frontier(spark, d):
+    return experiments.ann_frontier(_queries(spark, d, "global_id < 20"), vector_table(spark, d), 10, [(4, 6), (12, 6)]).drop("seconds")
+
+
+@query()
+def encoded_columns(spark, d):
+    e = Engine(lake(spark, d), encoders.vector_index(lake(spark, d), names=["nation", "part", "region"]))
+    q = encoders.query_vectors(spark, read(spark, d, "nation").select("n_name"))
+    return e.run(N.SemanticUnion(vectors=q, k=3)).select("rank", "table_id", "score")
+
+
 # -- profiling -------------------------------------------------------------------------------------
 
 
@@ -852,6 +888,18 @@ def tiebreak_regret(spark, d):
     return costs.regret(p).select("n", F.round("right", 6).alias("right"), F.round("regret", 4).alias("regret"), F.round("gain_over_coin", 4).alias("gain_over_coin"))
 
 
+@query()
+def imputation_legs(spark, d):
+    known, masked = _examples(spark, d), _masked(spark, d)
+    return experiments.imputation_legs(engine(spark, d), known, masked.select("k"), masked, [1, 5])
+
+
+@query(f"WITH m AS (SELECT kind, count(*) AS n, median(seconds) AS median FROM ({_SAMPLES.replace(chr(39) + 'censored' + chr(39), chr(39) + 'error' + chr(39))}) WHERE outcome = 'ok' GROUP BY 1) SELECT kind, n, round(median, 6) AS median, greatest(1, CAST(round_even(median / (SELECT min(median) FROM m), 0) AS INT)) AS cost FROM m")
+def cost_report(spark, d):
+    ok = _samples(spark, d).where("outcome = 'ok'")
+    return experiments.cost_report(ok).withColumn("median", F.round("median", 6))
+
+
 # -- pushdown experiments and streams ------------------------------------------------------------------
 
 
