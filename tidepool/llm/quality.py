@@ -157,21 +157,27 @@ def judge(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_
         feats = Scratch(spark, "quality").cut(feats.drop("_row"), "counts")
     # At most one row for each language of COMMON comes to the driver; the verdict is then a projection.
     refs = references(feats).collect()
-    doubles = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
-    c, h = (F.transform(x, lambda v: v.cast("double")) for x in ("_c", "_h"))
-    near = let(c, lambda a: F.array_min(F.array(F.lit(None).cast("double"), *[js_distance(a, doubles(r["ref_chars"])) for r in refs])))
-    char_js, word_js = near, F.lit(None).cast("double")
-    for r in refs:
-        mine = F.col("_lang") == r["lang"]
-        char_js = F.when(mine, js_distance(c, doubles(r["ref_chars"]))).otherwise(char_js)
-        word_js = F.when(mine, js_distance(h, doubles(r["ref_words"]))).otherwise(word_js)
-    out = feats.select(
-        *([] if not keep else ["_row"]), "doc_id", F.col("_w.n").alias("n_words"), F.col("_w.wc").alias("word_chars"), F.get("_c", F.lit(list(CLASSES).index("symbol"))).alias("n_symbols"),
-        "n_dup_lines", F.col("_w.rep").alias("n_repeat_words"), F.when(F.col("_chars") >= MIN_CHARS, char_js).alias("char_js"), F.when(F.col("_w.n") >= MIN_WORDS, word_js).alias("word_js"),
-    )
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    far = F.coalesce(F.col("char_js") > MAX_CHAR_JS, F.lit(False)) | F.coalesce(F.col("word_js") > MAX_WORD_JS, F.lit(False))
-    out = out.withColumn("base_failed", failed).withColumn("kept", ~(failed | far))
+    doubles = lambda xs: F.lit([float(x) for x in xs])
+
+    def verdict(f: Column) -> Column:
+        """All that is derived from one document's features, which are bound once."""
+        c, h = (F.transform(f[x], lambda v: v.cast("double")) for x in ("_c", "_h"))
+        near = let(c, lambda a: F.array_min(F.array(F.lit(None).cast("double"), *[js_distance(a, doubles(r["ref_chars"])) for r in refs])))
+        char_js, word_js = near, F.lit(None).cast("double")
+        for r in refs:
+            mine = f["_lang"] == r["lang"]
+            char_js = F.when(mine, js_distance(c, doubles(r["ref_chars"]))).otherwise(char_js)
+            word_js = F.when(mine, js_distance(h, doubles(r["ref_words"]))).otherwise(word_js)
+        n, rep = f["_w"]["n"], f["_w"]["rep"]
+        js = F.struct(F.when(f["_chars"] >= MIN_CHARS, char_js).alias("char"), F.when(n >= MIN_WORDS, word_js).alias("word"))
+        failed = (n < 50) | (100 * rep > 50 * n)
+        far = lambda x: F.coalesce(x["char"] > MAX_CHAR_JS, F.lit(False)) | F.coalesce(x["word"] > MAX_WORD_JS, F.lit(False))
+        return let(js, lambda x: F.struct(
+            n.alias("n_words"), f["_w"]["wc"].alias("word_chars"), F.get(f["_c"], F.lit(list(CLASSES).index("symbol"))).alias("n_symbols"), f["n_dup_lines"].alias("n_dup_lines"),
+            rep.alias("n_repeat_words"), x["char"].alias("char_js"), x["word"].alias("word_js"), failed.alias("base_failed"), (~(failed | far(x))).alias("kept"),
+        ))
+
+    judged = let(F.struct("_chars", "_c", "_h", "_lang", "_w", "n_dup_lines"), verdict)
     if keep:
-        return out.where("kept").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
-    return out
+        return feats.where(judged["kept"]).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    return feats.select("doc_id", judged.alias("v")).select("doc_id", "v.*")
