@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.llm import decontam, linededup, minhash, mixing, quality
-from tidepool.llm._store import Scratch
+from tidepool.llm._store import Scratch, attach
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -27,14 +27,15 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose id is not in ``ids``. Both sides are dealt by id; ids are unique, so none is hot."""
-    gone = ids.where("doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*COLUMNS)
+    """Rows whose id is not in ``ids``: these are counted and then broadcast, or both sides are dealt
+    by id (ids are unique, so none is hot)."""
+    gone = ids.where("doc_id is not null").select("doc_id").distinct()
+    return attach(docs, gone, ["doc_id"], "left_anti", salted=False).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    return _without(docs, minhash.near_duplicates(spark, docs).where("not kept"))
+    """Of each group of near duplicates (similarity of 0.8 or more) the one with the smallest id stays."""
+    return _without(docs, minhash.near_duplicates(spark, docs, percent=80).where("not kept"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

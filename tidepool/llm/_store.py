@@ -28,10 +28,18 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str = "") -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+    def drop(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def keep(self, *names: str) -> None:
+        """Remove all tables of the call but those its result still reads."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for s in fs.listStatus(root):
+            if s.getPath().getName() not in names:
+                fs.delete(s.getPath(), True)
+
 
 def same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     cond = F.lit(True)
@@ -40,16 +48,20 @@ def same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     return cond
 
 
-def attach(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", rows: int = BROADCAST_ROWS, salted: bool = True) -> DataFrame:
+def attach(
+    big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", rows: int = BROADCAST_ROWS, salted: bool = True, cells: Column | None = None
+) -> DataFrame:
     """Join a corpus-sized side with a side that is expected to be small.
 
-    The small side is counted: up to ``rows`` rows it is broadcast; beyond that each of its rows is
-    copied to SALTS salts and the big side deals its rows over them, so a hot key is split (with
-    ``salted`` false it is a plain shuffled join, for keys that are not hot). Keys compare null-safe.
-    For ``left``, ``left_semi`` and ``inner`` joins only.
+    The small side is counted: up to ``rows`` rows it is broadcast (with ``cells``, the number of
+    values in a row of it, up to ten times as many values too); beyond that each of its rows is copied
+    to SALTS salts and the big side deals its rows over them, so a hot key is split (with ``salted``
+    false it is a plain shuffled join, for keys that are not hot). Keys compare null-safe. For
+    ``left``, ``left_semi``, ``left_anti`` and ``inner`` joins only.
     """
     on, left, right = list(keys), big, small
-    if small.limit(rows + 1).count() <= rows:
+    n, values = small.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(F.lit(0) if cells is None else cells), F.lit(0))).first()
+    if n <= rows and values <= 10 * rows:
         right = F.broadcast(small)
     elif salted:
         left = big.withColumn("_salt", F.pmod(F.xxhash64(*[big[c] for c in big.columns[:4]], F.monotonically_increasing_id()), F.lit(SALTS)))

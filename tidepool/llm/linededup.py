@@ -76,10 +76,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id",
     columns of these two names are replaced)."""
     store = Scratch(spark, "lines")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
-    gone = store.cut(repeated_chunks(store, rows, mean_lines), "gone")
-    gone = gone.select(F.struct(F.col("doc_id"), F.col("th")).alias("_key"), F.col("spans").alias("_spans"))
-    whole = docs.select(whole_row(docs), docs[id_col].alias("_id"), docs[text_col].alias("_text"))
-    both = whole.join(gone, whole["_id"].eqNullSafe(gone["_key.doc_id"]) & (F.xxhash64("_text") == gone["_key.th"]), "left")
+    gone = store.cut(repeated_chunks(store, rows, mean_lines), "gone").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
+    store.keep("gone")
+    whole = docs.select(whole_row(docs), docs[id_col].alias("_id"), docs[text_col].alias("_text"), F.xxhash64(docs[text_col]).alias("_th"))
+    both = attach(whole, gone, ["_id", "_th"], "left", salted=False, cells=F.size("_spans"))
     lines = F.split("_text", "\n")
     keep = let(lines, lambda a: F.array_join(F.flatten(F.transform(F.array_except(chunk_spans(a, mean_lines), F.col("_spans")), lambda s: _of(a, s))), "\n"))
     text = F.when(F.col("_spans").isNull(), F.col("_text")).otherwise(keep)
