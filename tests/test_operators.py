@@ -96,7 +96,7 @@ def test_metrics_golden(spark):
     truth = spark.createDataFrame([(0, x) for x in "abc"] + [(1, "z")], "query int, item string")
     m = {r.query: r for r in metrics.at_depths(run, truth, [5]).collect()}
     assert m[0].precision == pytest.approx(3 / 5) and m[0].recall == 1.0
-    assert m[0].liftus_map == pytest.approx((1 + 1 / 2 + 2 / 3 + 2 / 4 + 3 / 5) / 5)
+    assert m[0].mean_precision == pytest.approx((1 + 1 / 2 + 2 / 3 + 2 / 4 + 3 / 5) / 5)
     assert m[0].ap == pytest.approx(34 / 45) and m[1].ap == 0.0 and m[1].hit == 0.0
     assert {r.query: r.ap for r in metrics.average_precision(run, truth).collect()}[0] == pytest.approx(34 / 45)
     c = metrics.ceilings(truth, [1, 3]).orderBy("k").collect()

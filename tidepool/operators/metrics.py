@@ -29,10 +29,10 @@ def judged(runs: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def at_depths(runs: DataFrame, truth: DataFrame, ks: Sequence[int] = DEPTHS) -> DataFrame:
-    """``query, k, precision, recall, ndcg, ap, liftus_map, precision_found, reciprocal_rank, hit, f1``.
+    """``query, k, precision, recall, ndcg, ap, mean_precision, precision_found, reciprocal_rank, hit, f1``.
 
     ``precision`` divides by k, ``precision_found`` by the number of results; ``ap`` divides by
-    min(n_rel, k); ``liftus_map`` is the mean of the precisions at 1 to k.
+    min(n_rel, k); ``mean_precision`` is the mean of the precisions at 1 to k.
     """
     j = judged(runs, truth)
     depth = j.sparkSession.createDataFrame([(k,) for k in sorted(set(ks))], "k int")
@@ -55,7 +55,7 @@ def at_depths(runs: DataFrame, truth: DataFrame, ks: Sequence[int] = DEPTHS) ->
     p, r = F.col("hits") / F.col("k"), F.col("hits") / F.col("n_rel")
     pf = F.when(F.col("found") > 0, F.col("hits") / F.col("found")).otherwise(0.0)
     return g.select(
-        "query", "k", p.alias("precision"), r.alias("recall"), (F.col("gain") / ideal).alias("ndcg"), (F.col("prec") / cap).alias("ap"), ((F.col("mean") + beyond) / F.col("k")).alias("liftus_map"),
+        "query", "k", p.alias("precision"), r.alias("recall"), (F.col("gain") / ideal).alias("ndcg"), (F.col("prec") / cap).alias("ap"), ((F.col("mean") + beyond) / F.col("k")).alias("mean_precision"),
         pf.alias("precision_found"), F.coalesce(1 / F.col("firsthit"), F.lit(0.0)).alias("reciprocal_rank"), (F.col("hits") > 0).cast("double").alias("hit"),
         F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"),
     )

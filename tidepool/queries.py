@@ -586,7 +586,7 @@ m AS (SELECT n.query, k.k, n.n_rel, count(h.rank) FILTER (h.rank < k.k) AS found
   coalesce(sum(hits / (rank + 1)) FILTER (h.rank < k.k), 0) AS mean, min(CASE WHEN rel = 1 AND rank < k.k THEN rank + 1 END) AS fh
   FROM n CROSS JOIN k LEFT JOIN h ON h.query = n.query GROUP BY ALL)
 SELECT query, k, round(hits / k, 6) AS precision, round(hits / n_rel, 6) AS recall, round(gain / list_sum(list_transform(range(1, least(n_rel, k) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg,
-  round(prec / least(n_rel, k), 6) AS ap, round((mean + coalesce(list_sum(list_transform(range(found + 1, k + 1), lambda i: hits / i)), 0)) / k, 6) AS liftus_map,
+  round(prec / least(n_rel, k), 6) AS ap, round((mean + coalesce(list_sum(list_transform(range(found + 1, k + 1), lambda i: hits / i)), 0)) / k, 6) AS mean_precision,
   round(CASE WHEN found > 0 THEN hits / found ELSE 0 END, 6) AS precision_found, round(coalesce(1 / fh, 0), 6) AS reciprocal_rank, CAST(hits > 0 AS DOUBLE) AS hit,
   round(CASE WHEN hits > 0 THEN 2 * (hits / k) * (hits / n_rel) / (hits / k + hits / n_rel) ELSE 0 END, 6) AS f1 FROM m"""
 
