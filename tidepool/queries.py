@@ -381,15 +381,14 @@ def munkres(spark, d):
     return rollup.munkres(q, unit.where("table_id <> 1").select(F.lit(1).alias("query"), "table_id"), unit.select("table_id", "embedding"), 0.1)
 
 
-def _planes(dim: int) -> list[list[float]]:
-    return vectors.hyperplanes(12, dim, 3)
+DIM = 64
+_PLANES = vectors.hyperplanes(12, DIM, 3)
+_BITS = " + ".join(f"{1 << (11 - i)} * CAST(list_inner_product(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), [{', '.join(repr(x) for x in p)}]) > 0 AS INT)" for i, p in enumerate(_PLANES))
 
 
-@query()
+@query(f"SELECT vec_id, {_BITS} AS code FROM embeddings")
 def simhash_codes(spark, d):
-    v = read(spark, d, "embeddings")
-    dim = len(v.select("embedding").first()["embedding"])
-    return v.select("vec_id", code(F.col("embedding"), _planes(dim)).alias("code"))
+    return read(spark, d, "embeddings").select("vec_id", code(F.col("embedding"), _PLANES).alias("code"))
 
 
 @query()
