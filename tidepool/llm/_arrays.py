@@ -1,11 +1,13 @@
 """Word fingerprints of Arrow text columns, computed on whole byte buffers with numpy.
 
-A batch is worked on in chunks of a few MB, so memory does not grow with the batch; a text longer
-than a chunk is a chunk of its own.
+A batch is worked on in chunks of a quarter MB, so memory does not grow with the batch; a text longer
+than a chunk is a chunk of its own. Workers stay for the next tasks, so they give memory back after
+each (``tidy``).
 """
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES, SLICE_ROWS = 1 << 18, 256
 U = np.uint64
 #: Odd multipliers that are 3 modulo 4, so that differences of powers lose one bit at most.
 P_CHAR, P_WORD = 0x9E3779B97F4A7C1B, 0xD6E8FEB86659FD97
@@ -76,16 +78,31 @@ class Chunk:
     at: np.ndarray  #: words of text k are words[at[k]:at[k + 1]]
 
 
+def slices(col: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """The column's texts as bytes, some rows at a time: first row, texts."""
+    for lo in range(0, len(col), SLICE_ROWS):
+        yield lo, [x or b"" for x in col.slice(lo, SLICE_ROWS).cast(pa.binary()).to_pylist()]
+
+
 def chunks(col: pa.Array, lower: bool = False) -> Iterator[Chunk]:
-    texts = [x or b"" for x in col.cast(pa.binary()).to_pylist()]
-    lo = size = 0
-    for hi, t in enumerate(texts):
-        if hi > lo and size + len(t) > CHUNK_BYTES:
-            yield _chunk(lo, hi, texts[lo:hi], lower)
-            lo, size = hi, 0
-        size += len(t) + 1
-    if len(texts) > lo:
-        yield _chunk(lo, len(texts), texts[lo:], lower)
+    for start, texts in slices(col):
+        lo = size = 0
+        for hi, t in enumerate(texts):
+            if hi > lo and size + len(t) > CHUNK_BYTES:
+                yield _chunk(start + lo, start + hi, texts[lo:hi], lower)
+                lo, size = hi, 0
+            size += len(t) + 1
+        yield _chunk(start + lo, start + len(texts), texts[lo:], lower)
+
+
+def tidy() -> None:
+    """Give unused memory back to the system."""
+    _kept.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
 
 
 def _chunk(lo: int, hi: int, texts: list[bytes], lower: bool) -> Chunk:

@@ -60,8 +60,8 @@ def search(store: Scratch, index: DataFrame, window_terms: DataFrame, slop: int
 
     first = starts(1).where("start >= 0")
     if slop == 0:
-        second = starts(2).select("rid", "wid", "start").distinct()
-        found = first.where("n = 1").union(first.where("n > 1").join(second, ["rid", "wid", "start"]).select(*first.columns))
+        second = starts(2).select("rid", "wid", "start")
+        found = first.where("n = 1").union(first.where("n > 1").join(second, ["rid", "wid", "start"], "left_semi").select(*first.columns))
     else:
         found = first
     found = store.cut(found.distinct(), "candidates")
@@ -91,6 +91,8 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, *, wid
     window_terms = store.cut(flat.join(names, "term").select("wid", "off", "tid"), "window_terms")
     index = build_index(store, docs, names, id_col=id_col, text_col=text_col)
     found = store.cut(search(store, index, window_terms, slop), "found")
+    docs_of = store.cut(index.where("tid = -1").select("rid", "doc_id", F.col("pos").cast("long").alias("n_words")), "lengths")
+    store.keep("found", "lengths", "grams", "windows")
 
     lengths = windows.select("wid", F.size("grams").alias("len"))
     spans = attach(found, lengths, ["wid"]).groupBy("rid", "start").agg(F.max("len").alias("len"))
@@ -101,7 +103,6 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, *, wid
     owners = grams.where("item_id is not null").select(F.xxhash64(F.array_join("grams", " ")).alias("wid"), "item_id").distinct()
     named = attach(found.select("rid", "wid").distinct(), owners, ["wid"]).select("rid", F.col("item_id").cast("string").alias("item")).distinct()
     named = named.groupBy("rid").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    docs_of = index.where("tid = -1").select("rid", "doc_id", F.col("pos").cast("long").alias("n_words"))
     out = docs_of.join(hit, "rid", "left").join(named, "rid", "left")
     items_col = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(

@@ -13,8 +13,8 @@ class, so exact copies never meet. Candidates:
    filtering on their shingles in order of frequency, so no link between the texts of a bucket is
    lost; pairs within a component are not tried.
 
-A pair with similarity 0.85 misses all bands with a chance of 1e-6, and falls below the bit-count
-threshold (90 of 128 matches; 110 are expected) with about as much.
+A pair misses all bands with a chance of 4e-7 at a similarity of 0.85 and 5e-5 at 0.8, and falls
+below the bit-count threshold with about 3e-7.
 
 Scale: every text is read once, and those of candidate pairs a second time. What is shuffled is 25
 band keys a class, pairs, and the shingle sets of classes in pairs or in unsettled buckets. Hot buckets are joined by keys
@@ -29,6 +29,7 @@ kept unless their component has a name. Only the id and text columns are read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,13 +37,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._arrays import Spans, U, chunks, mix, shipped
+from ._arrays import SLICE_ROWS, Spans, U, chunks, mix, shipped, tidy
 from ._store import Scratch, attach, components
 
 shipped(__name__)
 
 SHINGLE, PERMS, BANDS, ROWS, BITS = 5, 128, 25, 5, 4
-MIN_MATCHES = 90
 MIN_ROUNDS, MAX_ROUNDS = 2, 8
 _A = mix(np.arange(1, PERMS + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 _B = mix(np.arange(1, PERMS + 1, dtype=U) * U(0xC2B2AE3D27D4EB4F))
@@ -105,6 +105,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(s[:, 0]), pa.array(s[:, 1]), lists(bands), lists(packed)],
             names=["doc_id", "n_shingles", "s1", "s2", "bands", "packed"],
         )
+    tidy()
 
 
 def lists(parts: list[np.ndarray]) -> pa.Array:
@@ -114,9 +115,11 @@ def lists(parts: list[np.ndarray]) -> pa.Array:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = list(shingle_sets(batch.column(1)))
-        s = np.frombuffer(b"".join(hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets), dtype=np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(s[:, 0]), pa.array(s[:, 1]), lists([x.view(np.int64) for x in sets])], names=["s1", "s2", "shingles"])
+        for lo in range(0, batch.num_rows, SLICE_ROWS):
+            sets = list(shingle_sets(batch.column(1).slice(lo, SLICE_ROWS)))
+            s = np.frombuffer(b"".join(hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets), dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(s[:, 0]), pa.array(s[:, 1]), lists([x.view(np.int64) for x in sets])], names=["s1", "s2", "shingles"])
+    tidy()
 
 
 def matches(a: Column, b: Column) -> Column:
@@ -130,6 +133,13 @@ def matches(a: Column, b: Column) -> Column:
     return F.lit(PERMS) - F.aggregate(F.zip_with(a, b, lambda x, y: differing(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
+def least_matches(percent: int) -> int:
+    """Matches that a pair of the similarity has at least, but for a chance of about 3e-7: five
+    standard deviations below the mean. 90 of 128 at 0.85 (110 are expected), 81 at 0.8."""
+    p = percent / 100 + (1 - percent / 100) / 2**BITS
+    return math.floor(PERMS * p - 5 * math.sqrt(PERMS * p * (1 - p)))
+
+
 def estimate(found: Column) -> Column:
     c = 1 / 2**BITS
     return (found / PERMS - c) / (1 - c)
@@ -146,16 +156,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
     member = store.cut(sig.select("doc_id", "n_shingles", "s1", "s2").join(names, ["s1", "s2"], "left"), "member")
     reps = names.where("cls is not null").join(sig.select("s1", "s2", F.col("doc_id").alias("cls"), "n_shingles", "bands", "packed"), ["s1", "s2", "cls"])
     reps = store.cut(reps.dropDuplicates(["s1", "s2"]).select("cls", "s1", "s2", F.col("n_shingles").alias("n"), "bands", "packed"), "reps")
+    store.drop("signatures")
 
     band = reps.select("cls", F.explode("bands").alias("key"))
     several = band.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    bucket = store.cut(band.join(several, "key"), "buckets")
+    # Grouped sides are written before they are joined back, so that a hot bucket can be split.
+    bucket = store.cut(band.join(store.cut(several, "several"), "key"), "buckets")
     # How common a class's minima are: the text from which others were made has the highest weight.
     weight = store.cut(bucket.groupBy("cls").agg(F.sum("c").alias("w")), "weights")
     bucket = store.cut(bucket.select("key", "cls").join(weight, "cls"), "weighted")
     links, comp, old = None, weight.select("cls", F.col("cls").alias("comp")), []
     for r in range(MAX_ROUNDS):
-        mixed = store.cut(_mixed(bucket, comp), f"mixed{r}")
+        mixed = store.cut(_mixed(store, bucket, comp, f"lead{r}"), f"mixed{r}")
         star = mixed.where("comp <> lead.comp").select(F.col("cls").alias("a"), F.col("lead.cls").alias("b"))
         star = _likely(star.distinct(), reps, percent)
         if r == 0:
@@ -166,7 +178,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
         if found or r == 0:
             comp = components(store, links, f"cc{r}-")
             comp = store.cut(weight.select("cls").join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("comp")), f"comp{r}")
-            bucket = _still_mixed(bucket, comp)
+            bucket = bucket.join(store.cut(_still_mixed(bucket, comp), f"keys{r}"), "key")
         for name in old:
             store.drop(name)
         old = [f"mixed{r}", f"sets{r}"]
@@ -179,24 +191,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
     cross = store.cut(_prefix_pairs(sets, comp, percent), "cross")
     more = store.cut(_similar(_likely(cross, reps, percent).select("a", "b"), sets, percent), "links")
 
-    comp = components(store, links.union(more), "cc").select(F.col("node").alias("cls"), "component")
-    out = member.join(comp, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component", "cls", "doc_id").alias("component_id"))
+    named = member.join(components(store, links.union(more), "cc").select(F.col("node").alias("cls"), "component"), "cls", "left")
+    out = store.cut(named.select("doc_id", "n_shingles", F.coalesce("component", "cls", "doc_id").alias("component_id")), "result")
+    store.keep("result")
     return out.withColumn("kept", F.col("component_id").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def _still_mixed(bucket: DataFrame, comp: DataFrame) -> DataFrame:
-    """Rows of the buckets whose classes are in several components."""
-    keys = bucket.join(comp, "cls").groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
-    return bucket.join(keys.select("key"), "key")
+    """``key`` of the buckets whose classes are in several components."""
+    return bucket.join(comp, "cls").groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
 
 
-def _mixed(bucket: DataFrame, comp: DataFrame) -> DataFrame:
+def _mixed(store: Scratch, bucket: DataFrame, comp: DataFrame, name: str) -> DataFrame:
     """``key, cls, comp`` and the bucket's ``lead(comp, cls)``: of the component with most members, the
     class with the highest weight. Grouped maxima only."""
     inside = bucket.join(comp, "cls")
     per = inside.groupBy("key", "comp").agg(F.count("*").alias("c"), F.max(F.struct("w", "cls")).alias("top"))
     lead = per.groupBy("key").agg(F.max(F.struct("c", "top", "comp")).alias("x"))
-    return inside.select("key", "cls", "comp").join(lead.select("key", F.struct(F.col("x.comp").alias("comp"), F.col("x.top.cls").alias("cls")).alias("lead")), "key")
+    lead = store.cut(lead.select("key", F.struct(F.col("x.comp").alias("comp"), F.col("x.top.cls").alias("cls")).alias("lead")), name)
+    return inside.select("key", "cls", "comp").join(lead, "key")
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -204,7 +217,7 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     side = lambda x: reps.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("packed").alias(f"p{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    return both.where(fits).withColumn("m", matches(F.col("pa"), F.col("pb"))).where(F.col("m") >= MIN_MATCHES).select("a", "b", "m")
+    return both.where(fits).withColumn("m", matches(F.col("pa"), F.col("pb"))).where(F.col("m") >= least_matches(percent)).select("a", "b", "m")
 
 
 def _sets_of(store: Scratch, classes: DataFrame, reps: DataFrame, rows: DataFrame, name: str) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._arrays import Spans, U, chunks, mix, shipped
+from ._arrays import Spans, U, chunks, mix, shipped, slices, tidy
 from ._store import Scratch, attach
 
 shipped(__name__)
@@ -120,6 +120,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(sha, pa.string()), _lists(keys, np.int64), _lists(where, np.int32)],
             names=["doc_id", "th", "n_words", "sha", "keys", "at"],
         )
+    tidy()
 
 
 def _lists(parts: list[np.ndarray], kind: type) -> pa.Array:
@@ -153,22 +154,25 @@ def _extents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [batch.column(0).take(take), batch.column(1).take(take), *(pa.array((x - base).astype(np.int32)) for x in (p, lo, hi)), pa.array(extent), pa.ListArray.from_arrays(pa.array(offsets), pa.array(wins))],
                 names=["doc_id", "th", "p", "lo", "hi", "extent", "wins"],
             )
+    tidy()
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Drop the words covered by the windows from ``lo`` to ``hi`` of each listed span."""
     for batch in batches:
         removed, sha = [], []
-        for text, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            words = (text or "").encode().split()
-            edge = np.zeros(len(words) + 1, dtype=np.int32)
-            for s in spans:
-                edge[s["lo"]] += 1
-                edge[s["hi"] + WINDOW] -= 1
-            gone = np.cumsum(edge[:-1]) > 0
-            removed.append(int(gone.sum()))
-            sha.append(hashlib.sha256(b" ".join(w for w, g in zip(words, gone, strict=True) if not g)).hexdigest())
+        for start, texts in slices(batch.column(2)):
+            for text, spans in zip(texts, batch.column(3).slice(start, len(texts)).to_pylist(), strict=True):
+                words = text.split()
+                edge = np.zeros(len(words) + 1, dtype=np.int32)
+                for s in spans:
+                    edge[s["lo"]] += 1
+                    edge[s["hi"] + WINDOW] -= 1
+                gone = np.cumsum(edge[:-1]) > 0
+                removed.append(int(gone.sum()))
+                sha.append(hashlib.sha256(b" ".join(w for w, g in zip(words, gone, strict=True) if not g)).hexdigest())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "th", "n_removed", "sha"])
+    tidy()
 
 
 def repeated_spans(store: Scratch, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -181,18 +185,22 @@ def repeated_spans(store: Scratch, rows: DataFrame) -> tuple[DataFrame, DataFram
     listed = found.where("n_words >= 50").join(lead.dropDuplicates(), _by(found, lead), "left_semi").select("doc_id", "th", F.explode(F.arrays_zip("keys", "at")).alias("x"))
     listed = store.cut(listed.select("doc_id", "th", F.col("x.keys").alias("key"), F.col("x.at").alias("p")), "anchors")
     shared = listed.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.max(F.col("doc_id").isNull()).alias("none")).where("a < b or (a is not null and none)").select("key")
-    shared = store.cut(listed.join(shared, "key").dropDuplicates(["doc_id", "th", "p"]), "shared")
+    # Grouped sides are written before they are joined back, so that both sides are dealt for the join
+    # and adaptive execution can split a name that very many documents have.
+    shared = store.cut(listed.join(store.cut(shared, "names"), "key"), "shared")
     store.drop("found")
     store.drop("anchors")
 
-    per = shared.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    per = shared.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("p")).alias("ps"))
     texts = attach(rows, shared.select("doc_id").distinct(), ["doc_id"], "left_semi", salted=False)
     texts = store.cut(texts.dropDuplicates(["doc_id", "th"]).join(per.withColumnsRenamed({"doc_id": "_d", "th": "_t"}), F.expr("doc_id <=> _d and th = _t")).select("doc_id", "th", "text", "ps"), "texts")
     ext = texts.mapInArrow(_extents, EXTENTS)
-    key = shared.withColumnsRenamed({"doc_id": "_d", "th": "_t", "p": "_p"})
+    key = shared.dropDuplicates(["doc_id", "th", "p"]).withColumnsRenamed({"doc_id": "_d", "th": "_t", "p": "_p"})
     ext = store.cut(ext.join(key, F.expr("doc_id <=> _d and th = _t and p = _p")).select("doc_id", "th", "key", "p", "lo", "hi", "extent", "wins"), "extents")
     least = ext.groupBy("key", "extent").agg(F.min("doc_id").alias("first"))
+    least = store.cut(least, "least")
     several = least.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    several = store.cut(several, "several")
     ext = store.cut(ext.join(least, ["key", "extent"]), "judged")
     smaller = "first is not null and (doc_id is null or first < doc_id)"
     whole = ext.where(smaller).select("doc_id", "th", "lo", "hi")
@@ -200,7 +208,7 @@ def repeated_spans(store: Scratch, rows: DataFrame) -> tuple[DataFrame, DataFram
     part = ext.where(f"not ({smaller})").join(several, "key").select("doc_id", "th", "key", (F.col("p") - F.col("lo")).alias("o"), "lo", F.posexplode("wins").alias("j", "win"))
     part = store.cut(part.select("doc_id", "th", "key", (F.col("o") - F.col("j")).alias("o"), (F.col("lo") + F.col("j")).alias("lo"), "win"), "windows")
     own = part.groupBy("key", "o", "win").agg(F.min("doc_id").alias("first"))
-    single = part.join(own, ["key", "o", "win"]).where(smaller).select("doc_id", "th", "lo", F.col("lo").alias("hi"))
+    single = part.join(store.cut(own, "first"), ["key", "o", "win"]).where(smaller).select("doc_id", "th", "lo", F.col("lo").alias("hi"))
     return line, store.cut(whole.union(single), "spans")
 
 
@@ -214,6 +222,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_i
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     line, spans = repeated_spans(store, rows)
+    store.keep("lines", "spans", "texts")
     per = spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).withColumnsRenamed({"doc_id": "_d", "th": "_t"})
     texts = spark.read.schema("doc_id long, th long, text string").parquet(f"{store.root}/texts")
     kept = texts.join(per, F.expr("doc_id <=> _d and th = _t")).select("doc_id", "th", "text", "spans").mapInArrow(_remove, KEPT)
