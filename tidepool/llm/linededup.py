@@ -56,7 +56,8 @@ def repeated_chunks(store: Scratch, rows: DataFrame, mean_lines: int, min_lines:
     found = store.cut(found.select("doc_id", "th", F.col("c.span").alias("span"), F.col("c.h").alias("h")).dropDuplicates(["doc_id", "th", "span"]), "chunks")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "span")
     first = found.groupBy("h").agg(F.min(place).alias("f"), F.count("*").alias("k")).where("k > 1").select("h", "f")
-    own = found.join(first, "h").withColumn("lead", F.expr("doc_id <=> f.doc_id and th = f.th and span = f.span"))
+    # Written first, so that both sides of the join are dealt for it and a hot chunk can be split.
+    own = found.join(store.cut(first, "first"), "h").withColumn("lead", F.expr("doc_id <=> f.doc_id and th = f.th and span = f.span"))
     own = store.cut(own.select("doc_id", "th", "span", "h", "lead"), "repeated")
 
     ids = own.select("doc_id").distinct()
