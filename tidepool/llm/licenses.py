@@ -1,8 +1,9 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from ancestor directories.
 
 Every line of a file is a possible header, every line of a licence file a possible notice. A line and
-a template are compared by the cosine of their TF-IDF vectors; the weights come from the templates,
-and terms of no template weigh as much as one that no template has. A file's own licence is the
+a template are compared by the cosine of their TF-IDF vectors; the weights come from the templates
+(everyday words have a small fixed one), and terms of no template weigh as much as a term that no
+template has. A file's own licence is the
 template of its best line at ``threshold`` or more (ties: the first name). A file without one inherits
 from the licence file in its nearest ancestor directory (its own directory included; of several in
 one directory, the one with the smallest id).
@@ -39,6 +40,9 @@ TEMPLATES = {
     "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software under the MIT License."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
 }
+# Words that many lines have, and their weight.
+EVERYDAY = frozenset("a an and any be by can file for found in is it may not of on or subject that the this to under use with work you 2 3".split())
+EVERYDAY_WEIGHT = 0.3
 THRESHOLD = 0.75
 _TERM = r"[A-Za-z0-9]+"
 
@@ -50,8 +54,8 @@ class Model:
         self.threshold = threshold
         rows = [(name, Counter(re.findall(_TERM, t.lower()))) for name, texts in templates.items() for t in texts]
         df = Counter(t for _, tf in rows for t in tf)
-        idf = lambda t: math.log((1 + len(rows)) / (1 + df[t])) + 1
-        self.idf, self.other = {t: idf(t) for t in df}, math.log(1 + len(rows)) + 1
+        idf = lambda t: EVERYDAY_WEIGHT if t in EVERYDAY else math.log((1 + len(rows)) / (1 + df[t])) + 1
+        self.idf, self.other = {t: idf(t) for t in (*df, *sorted(EVERYDAY - set(df)))}, math.log(1 + len(rows)) + 1
         self.rows = []
         self.telling: set[str] = set()
         for name, tf in rows:
