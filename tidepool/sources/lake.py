@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.tokens import raw_cell, signature, token
-from .storage import exists, shared_dir
+from .storage import exists, remove, shared_dir
 
 # What a CSV reader takes as missing.
 NA_VALUES = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
@@ -125,9 +125,14 @@ class Lake:
             if isinstance(f.dataType, (T.FloatType, T.DoubleType)) and f.name in mean:
                 upper = upper & ~F.isnan(c)
             cells.append(F.struct(F.lit(j).alias("colid"), token(c).alias("token"), upper.alias("quadrant")))
-        rows = self.numbered(name).select("_rowid", F.explode(F.array(*cells)).alias("c"))
+        rows = self._spread(self.numbered(name)).select("_rowid", F.explode(F.array(*cells)).alias("c"))
         return rows.select(F.lit(table_id).alias("table_id"), "c.colid", F.col("_rowid").cast("long").alias("rowid"), "c.token", "c.quadrant")
 
+    def _spread(self, rows: DataFrame) -> DataFrame:
+        """A table of one large row group is one task; deal its rows out before they become cells."""
+        wide = self.spark.sparkContext.defaultParallelism
+        return rows.repartition(wide) if rows._jdf.queryExecution().toRdd().getNumPartitions() < wide else rows
+
     def raw(self, name: str) -> DataFrame:
         """One table's cells as written: ``table_id, colid, rowid, value``; null for empty ones."""
         df = self.frames[name]
@@ -158,10 +163,13 @@ class Lake:
             cells = reduce(DataFrame.unionAll, [self.explode(n) for n in todo])
             total = sum(self.frames[n].count() * len(self.frames[n].columns) for n in todo)
             parts = max(1, min(total // CELLS_PER_PARTITION + 1, 100_000))
+            # Written as they come first: choosing ranges reads them once more.
+            cells.write.mode("overwrite").parquet(f"{self.root}/staging")
+            cells = self.spark.read.schema(CELLS).parquet(f"{self.root}/staging")
             # Ranges of (token, table, row): a very frequent token is cut into several files.
             cells.repartitionByRange(parts, "token", "table_id", "rowid").sortWithinPartitions("token", "table_id", "colid", "rowid").write.mode(mode).parquet(f"{self.root}/by_token")
-            written = self.spark.read.schema(CELLS).parquet(f"{self.root}/by_token").where(F.col("table_id").isin([self.id_of(n) for n in todo]))
-            written.repartitionByRange(parts, "table_id", "rowid").sortWithinPartitions("table_id", "rowid", "colid").write.mode(mode).parquet(f"{self.root}/by_row")
+            cells.repartitionByRange(parts, "table_id", "rowid").sortWithinPartitions("table_id", "rowid", "colid").write.mode(mode).parquet(f"{self.root}/by_row")
+            remove(self.spark, f"{self.root}/staging")
             self.spark.createDataFrame([(self.id_of(n),) for n in todo], "table_id int").coalesce(1).write.mode(mode).parquet(f"{self.root}/loaded")
         return self
 
