@@ -267,6 +267,18 @@ def test_invalid_values_stay(spark):
     assert [r.text for r in pii.pseudonymize(d, "key").orderBy("doc_id").collect()] == [f"see {v} now" for v in bad]
 
 
+def test_phones_outside_the_plan(spark):
+    old = [f"{a:03d}5{b}51352" for a in (0, 17, 132, 186, 199, 250, 999) for b in range(10)] + [f"2340{b}51352" for b in range(10)]
+    shapes = [f"+1 ({v[:3]}) {v[3:6]}-{v[6:]}" for v in old] + [f"{v[:3]}-{v[3:6]}-{v[6:]}" for v in old]
+    d = spark.createDataFrame([(i, f"see {v} now") for i, v in enumerate(shapes)], "doc_id long, text string")
+    new = [(r.text.removeprefix("see ").removesuffix(" now"), r.n) for r in pii.pseudonymize(d, "key", count_col="n").orderBy("doc_id").collect()]
+    digits = [re.sub(r"\D", "", v)[-10:] for v, _ in new]
+    assert all(n == 1 and v != s and re.sub(r"\d", "0", v[2:]) == re.sub(r"\d", "0", s[2:]) and (v[0] == "+") == (s[0] == "+") for (v, n), s in zip(new, shapes, strict=True))
+    assert digits[: len(old)] == digits[len(old) :] and len(set(digits)) == len(set(old))
+    plan = lambda v: bool(re.match("[2-9]..[2-9]", v))
+    assert [plan(v) for v in digits[: len(old)]] == [plan(v) for v in old]
+
+
 def test_feistel_is_one_to_one(spark):
     for width in (1, 2, 3):
         d = spark.range(10**width).select(F.lpad(F.col("id").cast("string"), width, "0").alias("v"))

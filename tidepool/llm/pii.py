@@ -1,8 +1,8 @@
 """Format-preserving pseudonyms for personal data, by a keyed Feistel network.
 
 Candidates are found by one pattern over the whole text and validated: cards by their check digit,
-addresses by their octets, dates by the calendar, phone and social-security numbers by their
-numbering plan. A valid value is permuted within its format: its symbols are cut in two halves, and
+addresses by their octets, dates by the calendar, social-security numbers by their numbering plan;
+phone numbers need only the format. A valid value is permuted within its format: its symbols are cut in two halves, and
 in ten rounds a half is shifted, symbol by symbol, by a keyed SHA-256 digest of the other. Values that
 must lie in a smaller domain (a calendar day, a 32-bit address, a plan's prefixes) are permuted again
 until they do (cycle walking), so the mapping stays one-to-one; a card's check digit is computed anew.
@@ -111,8 +111,9 @@ def _card(x: Column, key: str) -> Column:
 def _phone(x: Column, key: str) -> Column:
     fits = lambda d: d.rlike("^[2-9][0-9]{2}[2-9]")
     prefix = F.when(x.startswith("+1"), F.lit("1")).otherwise(F.lit(""))
-    new = lambda d: walk(d, lambda v: feistel(v, DIGITS, key, "phone"), fits)
-    return let(F.regexp_replace(only(x, "0-9"), "^1(?=[0-9]{10}$)", ""), lambda d: F.when(fits(d), refill(x, F.concat(prefix, new(d)), "0-9")))
+    # Numbers of the plan stay in it, the others outside it: each side is permuted in itself.
+    new = lambda d: walk(d, lambda v: feistel(v, DIGITS, key, "phone"), lambda v: fits(v) == fits(d))
+    return let(F.regexp_replace(only(x, "0-9"), "^1(?=[0-9]{10}$)", ""), lambda d: refill(x, F.concat(prefix, new(d)), "0-9"))
 
 
 def _ssn(x: Column, key: str) -> Column:
