@@ -41,6 +41,8 @@ PATTERNS = {
     "card": r"(?<![0-9-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,4}(?:[ -][0-9]{3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9]|-[0-9])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+# Every match of a pattern has a match of this: an @, a digit, or what a key or secret starts with.
+MAYBE = r"[0-9@]|AKIA|(?:token|password|secret|api_key)\s?[=:]"
 
 
 def feistel(value: Column, alphabet: str, key: str, tweak: str) -> Column:
@@ -188,7 +190,7 @@ def pseudonymize(docs: DataFrame, key: str, *, text_col: str = "text", count_col
         ))
 
     same = F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"))
-    result = F.when(text.rlike("[0-9@]"), let(F.regexp_extract_all(text, F.lit(ANY), 0), lambda m: F.when(F.size(m) > 0, rebuilt(m)).otherwise(same))).otherwise(same)
+    result = F.when(text.rlike(MAYBE), let(F.regexp_extract_all(text, F.lit(ANY), 0), lambda m: F.when(F.size(m) > 0, rebuilt(m)).otherwise(same))).otherwise(same)
     rows = docs.select(whole_row(docs), result.alias("_new"))
     own = [F.col("_new.text").alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns if c != count_col]
     return rows.select(*own, *([F.col("_new.n").alias(count_col)] if count_col else []))
