@@ -350,6 +350,23 @@ def test_licenses(spark):
     assert out[5] == out[8] == (None, "GPL-3.0", "repo/vendor") and out[6] == out[7] == (None, None, None)
 
 
+def test_license_versions_and_variants(spark):
+    want = {
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+        "This work is licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0", "Lesser General Public License, version 3": "LGPL-3.0", "GNU Affero General Public License, version 3": "AGPL-3.0",
+        "Licensed under CC BY 4.0.": "CC-BY-4.0", "Creative Commons Attribution 4.0 International": "CC-BY-4.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0", "Licensed under CC BY-ND 4.0.": None,
+        "Mozilla Public License, v. 1.1": None, "MIT License": "MIT", "The MIT License": "MIT", "MIT": None, "License": None, "Apache License": "Apache-2.0",
+    }
+    files = [(i, f"d{i}/a.c", [x], False) for i, x in enumerate(want)]
+    wrap = lambda t: [" ".join(t.split()[i : i + 12]) for i in range(0, len(t.split()), 12)]
+    names = sorted(licenses.NOTICES)
+    files += [(100 + i, f"e{i}/LICENSE", ["Copyright 2020 Someone", *wrap(licenses.NOTICES[n][0])], True) for i, n in enumerate(names)]
+    files += [(200, "f/COPYING", ["GNU GENERAL PUBLIC LICENSE", "Version 2, June 1991", "Everyone is permitted to copy"], True)]
+    got = {r.id: r.license for r in licenses.scan(spark, spark.createDataFrame(files, "id long, path string, lines array<string>, is_licence_file boolean")).collect()}
+    assert {x: got[i] for i, x in enumerate(want)} == want
+    assert [got[100 + i] for i in range(len(names))] == names and got[200] == "GPL-2.0"
+
+
 def test_the_filter_of_lines_loses_nothing(spark):
     m = licenses.Model()
     r = random.Random(5)
