@@ -339,6 +339,27 @@ def test_language(spark):
     assert sum(x.text_lang == x.truth for x in got) / len(got) < 0.9  # the other evidence is needed
 
 
+def test_all_labelled_languages_have_a_model(spark):
+    r = random.Random(11)
+    abc = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{i:02d}": ["".join(r.choice(abc) for _ in range(6)) for _ in range(20)] for i in range(70)}
+    text = lambda g: " ".join(r.choice(words[g]) for _ in range(60))
+    rows = [(i, text(g), g) for i, g in enumerate(sorted(words) * 2)] + [(1000 + i, text("l00"), "l00") for i in range(400)]
+    pages = [(i, f"http://h{i}.x/", f"<html><body>{text(g)}</body></html>") for i, g in enumerate(sorted(words))]
+    got = langid.identify(spark, spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=20)
+    assert {x.page_id: x.text_lang for x in got.collect()} == dict(enumerate(sorted(words)))
+
+
+def test_all_articles_are_visible(spark):
+    pages = [
+        "<p>menu</p><article>one</article><p>ad</p><ARTICLE class=x>two</ARTICLE ><p>foot</p>", "<p>menu</p><article>a<article>b</article>c</article>foot", "<p>whole</p><article></article>",
+        "<p>menu</p><article>open", "none", None, "<!-- <article>no</article> --><p>yes</p>",
+    ]
+    d = spark.createDataFrame(list(enumerate(pages)), "i int, html string")
+    got = [x.t.split() for x in d.orderBy("i").select(langid.visible(F.col("html")).alias("t")).collect()]
+    assert got == [["one", "two"], ["a", "b", "c"], ["whole"], ["menu", "open"], ["none"], [], ["yes"]]
+
+
 def test_licenses(spark):
     files = [
         (1, "repo/LICENSE", ["Released under the MIT License."], True), (2, "repo/src/a.c", ["int x;"], False), (3, "repo/src/deep/b.c", ["// Licensed under the Apache License, Version 2.0.", "code"], False),

@@ -16,8 +16,9 @@ by text, evidence) is counted and smoothed.
 Scale: pages are read once for the text scores, which are written to the shared folder; the rest works
 on one short row a page. Host counts are combined before the shuffle, and joined back as a counted,
 then broadcast or salted side, so a host with a third of all pages is spread. The trigram model is
-fitted on a sample of labelled documents of an expected size of at most ``sample`` (a parameter); its
-size is fixed (languages by BUCKETS numbers), and it is sent to the workers.
+fitted on a sample of labelled documents, of an expected size of at most ``sample`` (a parameter) for
+each language; all labelled languages have one. It is sent to the workers as the trigrams that each
+language's sample has, so its size is that of the samples, BUCKETS numbers a language at most.
 
 Defined cases: null or empty markup has no text evidence; a null or odd address has no suffix and
 host ''. A page without any evidence gets the prior of all pages. Equal scores go to the first
@@ -36,11 +37,12 @@ from pyspark.sql import functions as F
 
 from ._arrays import shipped
 from ._store import Scratch, attach
-from ._text import unit_hash
+from ._text import let, unit_hash
 
 shipped(__name__)
 
-BUCKETS, MAX_LANGS = 1 << 15, 64
+BUCKETS = 1 << 15
+HELD = 64  # languages whose counts a task holds at once
 PARTS = 1 << 20  # bytes worked on at once
 
 
@@ -57,38 +59,72 @@ def buckets(text: bytes) -> np.ndarray:
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for lang, counts in total.items():
+            k = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k.astype(np.int32)), pa.array(counts[k])], names=["lang", "bucket", "n"])
+        total.clear()
+
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            total.setdefault(lang, np.zeros(BUCKETS, np.int64))
+            if lang not in total:
+                if len(total) == HELD:
+                    yield from out()
+                total[lang] = np.zeros(BUCKETS, np.int64)
             total[lang] += buckets((text or "").lower().encode())
-    for lang, counts in total.items():
+    yield from out()
+
+
+class Model:
+    """Smoothed log probabilities: each language's for a trigram its sample lacks, and by bucket what the others add."""
+
+    def __init__(self, n_langs: int, lang: np.ndarray, bucket: np.ndarray, n: np.ndarray):
+        sums = np.bincount(lang, weights=n, minlength=n_langs) + 0.5 * BUCKETS
+        order = np.lexsort((lang, bucket))
+        self.base = np.log(0.5 / sums)
+        self.lang = lang[order].astype(np.int32)
+        self.more = np.log1p(2.0 * n[order])
+        self.start = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+
+    def score(self, counts: np.ndarray) -> np.ndarray:
+        """Log likelihood of the counts in each language."""
         k = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k.astype(np.int32)), pa.array(counts[k])], names=["lang", "bucket", "n"])
+        size = self.start[k + 1] - self.start[k]
+        at = np.repeat(self.start[k] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return self.base * counts.sum() + np.bincount(self.lang[at], weights=self.more[at] * np.repeat(counts[k], size), minlength=len(self.base))
 
 
-def fit(spark: SparkSession, labelled: DataFrame, sample: int, seed: int = 5) -> tuple[list[str], np.ndarray]:
-    """Languages, and log probabilities of shape (languages, BUCKETS)."""
+def fit(spark: SparkSession, labelled: DataFrame, sample: int, seed: int = 5) -> tuple[list[str], Model]:
+    """All labelled languages, and their model."""
     rows = labelled.where("lang is not null")
-    share = min(1.0, sample / max(1, rows.count()))
-    counts = rows.where(unit_hash(seed, F.col("doc_id")) <= share).select("lang", "text").mapInArrow(_train, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    found = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
+    found = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(found)
-    table = np.full((len(langs), BUCKETS), 0.5)
-    # At most MAX_LANGS * BUCKETS counts come to the driver, whatever the corpus.
-    got = counts.where(F.col("lang").isin(langs)).toArrow()
-    if len(langs):
-        at = {g: i for i, g in enumerate(langs)}
-        table[[at[x] for x in got["lang"].to_pylist()], got["bucket"].to_numpy()] += got["n"].to_numpy()
-    return langs, np.log(table / table.sum(axis=1, keepdims=True))
+    at = {g: i for i, g in enumerate(langs)}
+    if not langs:
+        return [], Model(0, *[np.zeros(0, np.int64)] * 3)
+    share = F.element_at(F.create_map(*[F.lit(x) for g in langs for x in (g, min(1.0, sample / found[g]))]), F.col("lang"))
+    got = rows.where(unit_hash(seed, F.col("doc_id")) <= share).select("lang", "text").mapInArrow(_train, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    return langs, Model(len(langs), np.array([at[x] for x in got["lang"].to_pylist()], np.int64), got["bucket"].to_numpy(), got["n"].to_numpy())
+
+
+def articles(html: Column) -> Column:
+    """All that is inside articles, nested ones included; '' if there is none with an end."""
+
+    def step(s: Column, piece: Column) -> Column:
+        depth = F.when(piece.rlike(r"(?i)^<article[\s/>]"), s["depth"] + 1).when(piece.rlike(r"(?i)^</article[\s/>]"), F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"])
+        return let(depth, lambda d: F.struct(d.alias("depth"), F.when(d > 0, F.concat(s["kept"], F.array(piece))).otherwise(s["kept"]).alias("kept")))
+
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept"))
+    inside = F.aggregate(F.split(html, r"(?i)(?=</?article[\s/>])"), start, step, lambda s: F.array_join(s["kept"], " "))
+    return F.when(html.rlike(r"(?is)<article[\s/>].*?</article[\s/>]"), inside).otherwise(F.lit(""))
 
 
 def visible(html: Column) -> Column:
-    """Visible text: the article if the page has one, without scripts, styles, comments and tags."""
-    whole = F.coalesce(html, F.lit(""))
-    article = F.regexp_extract(whole, r"(?is)<article\b[^>]*>(.*?)</article>", 1)
-    body = F.when(article != "", article).otherwise(whole)
-    bare = F.regexp_replace(body, r"(?is)<(script|style)\b[^>]*>.*?</\1>|<!--.*?-->", " ")
-    return F.regexp_replace(F.regexp_replace(bare, "<[^>]*>", " "), "[ \\t\\r\\n]+", " ")
+    """Visible text: all articles if the page has any, without scripts, styles, comments and tags."""
+    bare = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b[^>]*>.*?</\1>|<!--.*?-->", " ")
+    shown = lambda x: F.regexp_replace(F.regexp_replace(x, "<[^>]*>", " "), "[ \\t\\r\\n]+", " ")
+    return let(bare, lambda b: let(shown(articles(b)), lambda a: F.when(F.trim(a) != "", a).otherwise(shown(b))))
 
 
 def evidence(pages: DataFrame, langs: list[str]) -> DataFrame:
@@ -106,16 +142,15 @@ def evidence(pages: DataFrame, langs: list[str]) -> DataFrame:
     )
 
 
-def _scorer(logs: np.ndarray):
+def _scorer(model: Model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, n = [], []
             for text in batch.column(5).to_pylist():
                 counts = buckets((text or "").lower().encode())
-                k = np.flatnonzero(counts)
-                out.append(logs[:, k] @ counts[k])
+                out.append(model.score(counts))
                 n.append(int(counts.sum()))
-            scores = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * len(logs)), pa.array(np.concatenate([np.zeros(0), *out])))
+            scores = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * len(model.base)), pa.array(np.concatenate([np.zeros(0), *out])))
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], scores, pa.array(n, pa.int64())], names=["page_id", "host", "domain", "declared", "suffix", "ll", "grams"])
 
     return score
@@ -124,11 +159,11 @@ def _scorer(logs: np.ndarray):
 def identify(spark: SparkSession, pages: DataFrame, labelled: DataFrame, *, sample: int = 4000, most_grams: float = 12.0, host_weight: float = 5.0, domain_weight: float = 20.0) -> DataFrame:
     """``page_id, lang, confidence, text_lang, declared, suffix, host`` for every row of ``pages``."""
     store = Scratch(spark, "langid")
-    langs, logs = fit(spark, labelled, sample)
+    langs, model = fit(spark, labelled, sample)
     n = len(langs)
     if not n:
         return spark.createDataFrame([], "page_id long, lang string, confidence double, text_lang string, declared string, suffix string, host string")
-    scored = evidence(pages, langs).mapInArrow(_scorer(logs), "page_id long, host string, domain string, declared string, suffix string, ll array<double>, grams long")
+    scored = evidence(pages, langs).mapInArrow(_scorer(model), "page_id long, host string, domain string, declared string, suffix string, ll array<double>, grams long")
     best = F.array_position("ll", F.array_max("ll")).cast("int") - 1  # the first of equal ones
     flat = F.array_max("ll") == F.array_min("ll")
     rows = store.cut(scored.withColumn("vote", F.when(~flat, best)), "scores")
