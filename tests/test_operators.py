@@ -225,3 +225,36 @@ def test_command_line(spark, tmp_path, capsys):
     main(["types", *base])
     out = capsys.readouterr().out
     assert "5 cells of 2 tables; copies agree: True" in out and "a.csv" in out
+
+
+@pytest.fixture(scope="module")
+def embedded(spark, tmp_path_factory):
+    """A folder with 130 vectors of five labels."""
+    r, d = random.Random(4), str(tmp_path_factory.mktemp("vectors"))
+    rows = [(i, i % 5, [r.gauss(0, 1) for _ in range(64)]) for i in range(130)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
+    return d, rows
+
+
+@pytest.mark.parametrize("name", ["lsh_recall", "depth_grid", "ann_frontier"])
+def test_searches_query_every_20th_vector(spark, embedded, monkeypatch, name):
+    from tidepool import queries as q
+
+    seen, nearest = set(), q.vectors.nearest
+    monkeypatch.setattr(q.vectors, "nearest", lambda queries, *a, **k: (seen.update(r.query_col for r in queries.select("query_col").collect()), nearest(queries, *a, **k))[1])
+    q.QUERIES[name](spark, embedded[0]).collect()
+    assert seen == {i for i in range(130) if i % 20 == 0}
+
+
+def test_munkres_query_has_all_vectors(spark, embedded):
+    from tidepool import queries as q
+
+    d, rows = embedded
+    unit = {t: np.array([np.array(e, dtype=np.float32).astype(float) for _, g, e in rows if g == t]) for t in range(5)}
+    unit = {t: x / np.linalg.norm(x, axis=1, keepdims=True) for t, x in unit.items()}
+    got = {r.table_id: r.score for r in q.QUERIES["munkres"](spark, d).collect()}
+    for t in (0, 2, 3, 4):
+        cos = unit[1] @ unit[t].T
+        want = sum(cos[i, j] for i, j in rollup.assignment(np.where(cos > 0.1, cos, 0.0)) if cos[i, j] > 0.1)
+        assert abs(got.pop(t) - want) < 1e-6
+    assert not got

@@ -375,8 +375,7 @@ def decay_vote(spark, d):
 
 @query()
 def munkres(spark, d):
-    v = vector_table(spark, d).where("global_id < 60")
-    unit = vectors.normalised(v)
+    unit = vectors.normalised(vector_table(spark, d))
     q = unit.where("table_id = 1").select(F.lit(1).alias("query"), "embedding")
     return rollup.munkres(q, unit.where("table_id <> 1").select(F.lit(1).alias("query"), "table_id"), unit.select("table_id", "embedding"), 0.1)
 
@@ -393,7 +392,7 @@ def simhash_codes(spark, d):
 
 @query()
 def lsh_recall(spark, d):
-    q, v = _queries(spark, d, "global_id < 20"), vector_table(spark, d)
+    q, v = _queries(spark, d, "global_id % 20 = 0"), vector_table(spark, d)
     return vectors.recall(vectors.lsh_nearest(q, v, 10), vectors.nearest(q, v, 10))
 
 
@@ -670,14 +669,14 @@ def fusion_weight_sweep(spark, d):
 
 @query()
 def depth_grid(spark, d):
-    hits = vectors.nearest(_queries(spark, d, "global_id < 12"), vector_table(spark, d), 40).select(F.col("query_col").alias("query"), "query_col", "r", "table_id", (-F.col("similarity")).alias("distance"))
-    truth = vector_table(spark, d).where("global_id < 12").select(F.col("colid").alias("query"), ((F.col("table_id") + 1) % 5).alias("item"))
+    hits = vectors.nearest(_queries(spark, d, "global_id % 20 = 0"), vector_table(spark, d), 40).select(F.col("query_col").alias("query"), "query_col", "r", "table_id", (-F.col("similarity")).alias("distance"))
+    truth = vector_table(spark, d).where("global_id % 20 = 0").select(F.col("colid").alias("query"), ((F.col("table_id") + 1) % 5).alias("item"))
     return experiments.depth_grid(hits, truth, [10, 20, 40], [5, 10, 20], 3)
 
 
 @query()
 def ann_frontier(spark, d):
-    return experiments.ann_frontier(_queries(spark, d, "global_id < 20"), vector_table(spark, d), 10, [(4, 6), (12, 6)]).drop("seconds")
+    return experiments.ann_frontier(_queries(spark, d, "global_id % 20 = 0"), vector_table(spark, d), 10, [(4, 6), (12, 6)]).drop("seconds")
 
 
 @query()
