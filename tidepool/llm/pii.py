@@ -1,17 +1,22 @@
 """Format-preserving pseudonyms for personal data, by a keyed Feistel network.
 
-Candidates are found by one pattern over the whole text and validated: cards by their check digit,
-addresses by their octets, dates by the calendar, social-security numbers by their numbering plan;
-phone numbers need only the format. A valid value is permuted within its format: its symbols are cut in two halves, and
+Candidates are found by one pattern over the whole text and validated: cards by issuer range, length and
+check digit, bank accounts (IBAN) by their remainder, addresses by their octets, dates by the calendar,
+social-security numbers by their numbering plan; phone numbers need only the format (North American, or
+a plus sign and 7 to 15 digits). A valid value is permuted within its format: its symbols are cut in two halves, and
 in ten rounds a half is shifted, symbol by symbol, by a keyed SHA-256 digest of the other. Values that
 must lie in a smaller domain (a calendar day, a 32-bit address, a plan's prefixes) are permuted again
-until they do (cycle walking), so the mapping stays one-to-one; a card's check digit is computed anew.
-Equal values get equal pseudonyms in all documents; separators, letter case and e-mail hosts stay.
+until they do (cycle walking), so the mapping stays one-to-one; check digits are computed anew.
+Equal values get equal pseudonyms in all documents; separators, letter case, e-mail hosts, a card's first
+two digits and a country's code stay. Bare ten-digit numbers are not taken for phone numbers.
 
 Scale: a projection; nothing is shuffled, joined or broadcast.
 
 Defined cases: null texts stay null; texts without candidates, and candidates that fail validation,
-stay as they are. Rows are rewritten one by one, so repeated rows get equal texts. Other columns are
+stay as they are. Very long texts are read whole: the patterns have no unbounded repeated groups (an
+e-mail address has at most 64 characters before the @ and nine labels after it, as many as its standard
+lets usual hosts have), and a secret of any length is permuted in time linear in it. Rows are rewritten
+one by one, so repeated rows get equal texts. Other columns are
 kept; the counts are in a column whose name the caller gives (an input column of that name is
 replaced).
 """
@@ -31,32 +36,38 @@ FIRST_DAY, DAYS = "1900-01-01", 73049  # to 2099-12-31
 
 # Each kind's pattern; they are tried in this order.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])(?=[._%+-]{0,63}[A-Za-z0-9])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,63}",
     "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?:token|password|secret|api_key)\s?[=:]\s?\"?[0-9a-f]{16,}(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?:token|password|secret|api_key)\s?[=:]\s?\"?[0-9a-f]{16,}+(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+1[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9A-Za-z])(?:\+1[ .-]?)?(?:\(?[0-9]{3}\)?[ .-]|\([0-9]{3}\))[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "abroad": r"(?<![0-9A-Za-z+])\+[1-9][0-9](?:[ .()/-]{0,2}[0-9]){5,13}(?![0-9])",
     "card": r"(?<![0-9-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,4}(?:[ -][0-9]{3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9]|-[0-9])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # Every match of a pattern has a match of this: an @, a digit, or what a key or secret starts with.
+ISSUED = "^(?:4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|(?:5[1-5]|2[2-7])[0-9]{14}|3[47][0-9]{13}|3[0689][0-9]{12}|35[0-9]{14}|6[0245][0-9]{14,17})$"
 MAYBE = r"[0-9@]|AKIA|(?:token|password|secret|api_key)\s?[=:]"
 
 
 def feistel(value: Column, alphabet: str, key: str, tweak: str) -> Column:
     """A keyed permutation of the strings over ``alphabet`` of each length."""
-    n = len(alphabet)
+    n, block = len(alphabet), F.lit("(?s).{1,16}")
 
     def shift(half: Column, other: Column, r: Column) -> Column:
-        def one(c: Column, i: Column) -> Column:
-            digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), r.cast("string"), other, F.floor(i / 16).cast("string")), 256)
-            add = F.conv(F.substring(digest, F.pmod(i, F.lit(16)) * 4 + 1, F.lit(4)), 16, 10).cast("int")
-            at = F.pmod(F.position(c, F.lit(alphabet)) - 1 + add, F.lit(n))
-            return F.substring(F.lit(alphabet), at + 1, F.lit(1))
+        # One digest of the other half, and one of it for each 16 symbols: linear in the length.
+        def moved(symbols: Column, digest: Column) -> Column:
+            def one(c: Column, i: Column) -> Column:
+                add = F.conv(F.substring(digest, i * 4 + 1, F.lit(4)), 16, 10).cast("int")
+                return F.substring(F.lit(alphabet), F.pmod(F.position(c, F.lit(alphabet)) - 1 + add, F.lit(n)) + 1, F.lit(1))
 
-        return F.when(F.length(half) == 0, half).otherwise(F.array_join(F.transform(F.split(half, ""), one), ""))
+            return F.array_join(F.transform(F.split(symbols, ""), one), "")
+
+        parts = lambda h: F.transform(F.regexp_extract_all(half, block, F.lit(0)), lambda s, k: let(F.sha2(F.concat_ws("|", h, k.cast("string")), 256), lambda d: moved(s, d)))
+        return let(F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), r.cast("string"), other), 256), lambda h: F.array_join(parts(h), ""))
 
     cut = F.floor(F.length(value) / 2).cast("int")
     start = F.struct(F.substring(value, F.lit(1), cut).alias("a"), F.substring(value, cut + 1, F.length(value)).alias("b"))
@@ -104,10 +115,33 @@ def _number(value: Column, size: int, key: str, tweak: str) -> Column:
 
 def _card(x: Column, key: str) -> Column:
     def new(d: Column) -> Column:
-        body = let(feistel(F.substring(d, F.lit(2), F.length(d) - 2), DIGITS, key, "card"), lambda b: F.concat(F.substring(d, 1, 1), b))
+        body = let(feistel(F.substring(d, F.lit(3), F.length(d) - 3), DIGITS, key, "card"), lambda b: F.concat(F.substring(d, 1, 2), b))
         return let(body, lambda b: F.concat(b, F.pmod(10 - F.pmod(luhn(F.concat(b, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")))
 
-    return let(only(x, "0-9"), lambda d: F.when(F.pmod(luhn(d), F.lit(10)) == 0, refill(x, new(d), "0-9")))
+    return let(only(x, "0-9"), lambda d: F.when(d.rlike(ISSUED) & (F.pmod(luhn(d), F.lit(10)) == 0), refill(x, new(d), "0-9")))
+
+
+def remainder(account: Column) -> Column:
+    """Of an account (country and check digits first), with letters as numbers from 10 on, by 97."""
+
+    def add(a: Column, c: Column) -> Column:
+        v = F.position(c, F.lit(DIGITS + LETTERS.upper())) - 1
+        return F.pmod(F.when(v < 10, a * 10 + v).otherwise(a * 100 + v), F.lit(97))
+
+    moved = F.concat(F.substring(account, F.lit(5), F.length(account)), F.substring(account, 1, 4))
+    return F.aggregate(F.split(moved, ""), F.lit(0), add)
+
+
+def _iban(x: Column, key: str) -> Column:
+    def new(s: Column) -> Column:
+        rest = F.substring(s, F.lit(5), F.length(s))
+        letters = let(F.lower(only(rest, "A-Z")), lambda v: feistel(v, LETTERS, key, "iban"))
+        digits = let(only(rest, "0-9"), lambda v: feistel(v, DIGITS, key, "iban"))
+        own = let(letters, lambda a: let(digits, lambda d: refill(refill(rest, a, "A-Z"), d, "0-9")))
+        check = lambda b: F.lpad((98 - remainder(F.concat(F.substring(s, 1, 2), F.lit("00"), b))).cast("string"), 2, "0")
+        return let(own, lambda b: F.concat(F.substring(s, 1, 2), check(b), b))
+
+    return let(only(x, "A-Z0-9"), lambda s: F.when(remainder(s) == 1, refill(x, new(s), "A-Z0-9")))
 
 
 def _phone(x: Column, key: str) -> Column:
@@ -118,6 +152,11 @@ def _phone(x: Column, key: str) -> Column:
     return let(F.regexp_replace(only(x, "0-9"), "^1(?=[0-9]{10}$)", ""), lambda d: refill(x, F.concat(prefix, new(d)), "0-9"))
 
 
+def _abroad(x: Column, key: str) -> Column:
+    new = lambda d: F.concat(F.substring(d, 1, 2), let(F.substring(d, F.lit(3), F.length(d)), lambda v: feistel(v, DIGITS, key, "abroad")))
+    return let(only(x, "0-9"), lambda d: refill(x, new(d), "0-9"))
+
+
 def _ssn(x: Column, key: str) -> Column:
     fits = lambda d: d.rlike("^(?!000|666|9)[0-9]{3}(?!00)[0-9]{2}(?!0000)[0-9]{4}$")
     return let(only(x, "0-9"), lambda d: F.when(fits(d), refill(x, walk(d, lambda v: feistel(v, DIGITS, key, "ssn"), fits), "0-9")))
@@ -166,7 +205,7 @@ def _secret(x: Column, key: str) -> Column:
     return F.concat(F.substring(x, F.lit(1), F.length(x) - F.length(value)), let(value, lambda s: feistel(s, HEX, key, "secret")))
 
 
-KINDS = {"email": _email, "key": _key, "secret": _secret, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
+KINDS = {"email": _email, "key": _key, "secret": _secret, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "abroad": _abroad, "card": _card}
 
 
 def pseudonym(value: Column, key: str) -> Column:
