@@ -39,8 +39,9 @@ def varied(seed, n=60):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_substring(spark, docs, seed):
+@pytest.mark.parametrize(("seed", "bits"), [(0, 64), (1, 64), (2, 8)])
+def test_substring(spark, docs, monkeypatch, seed, bits):
+    monkeypatch.setattr(substring, "NAME_BITS", bits)  # with 8 bits most names stand for several things
     rows = varied(seed, 80)
     first = {}
     for i, t in rows:
@@ -57,6 +58,23 @@ def test_substring(spark, docs, seed):
         assert r.kept_sha256 == hashlib.sha256(" ".join(x for j, x in enumerate(w) if j not in gone).encode()).hexdigest()
 
 
+def test_patterned_words_are_told_apart(spark, docs):
+    """Two long words that a sum of powers modulo 2**64 cannot tell apart, whatever its base."""
+    bit = lambda i: i.bit_count() & 1
+    a, b = ("".join("ab"[bit(i) ^ x] for i in range(2048)) for x in (0, 1))
+    side = [f"w{i}" for i in range(80)]
+    rows = [(1, " ".join([*side[:40], a, *side[40:]])), (2, " ".join([*side[:40], b, *side[40:]]))]
+    assert [r.n_removed for r in substring.remove_repeats(spark, docs(rows)).collect()] == [0, 0]
+
+
+def test_false_names_are_found(spark, docs, monkeypatch):
+    monkeypatch.setattr(substring, "NAME_BITS", 1)
+    monkeypatch.setattr(substring, "RUNS", 1)
+    rows = [(i, " ".join(f"a{i}b{j}" for j in range(80))) for i in range(6)]
+    with pytest.raises(RuntimeError, match="different words"):
+        substring.remove_repeats(spark, docs(rows))
+
+
 def test_every_window_has_an_anchor():
     rng = np.random.default_rng(0)
     for size in (2, 5, 1000):
@@ -109,6 +127,22 @@ def test_minhash_hub(spark, docs):
     assert len(linked) >= 40 and all(got[i] == min(linked) for i in linked)
 
 
+def test_pages_of_one_template_do_not_meet(spark):
+    """Sets of similarity 0.8 or less with a large common part give no candidates; those above it do."""
+    from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+
+    r, sets = random.Random(4), []
+    for i in range(200):
+        own = r.randint(20, 45)
+        sets.append((i, list(range(180)) + [10_000 * (i + 1) + j for j in range(own)]))
+    sets += [(500, sets[3][1][:-2]), (501, sets[7][1] + [-1, -2])]
+    df = spark.createDataFrame([(i, r.sample(s, len(s))) for i, s in sets], StructType([StructField("cls", LongType()), StructField("shingles", ArrayType(LongType()))]))
+    comp = df.select("cls", F.col("cls").alias("comp"))
+    got = {tuple(sorted(x)) for x in minhash._prefix_pairs(df, comp, 85).collect()}
+    want = {(a, b) for a, s in sets for b, t in sets if a < b and 100 * len(set(s) & set(t)) >= 85 * len(set(s) | set(t))}
+    assert want and want <= got and len(got) <= len(want) + 20
+
+
 def test_estimate(spark):
     r = np.random.default_rng(1)
     a = r.integers(0, 2**60, 400).astype(np.uint64)

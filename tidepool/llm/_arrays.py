@@ -8,6 +8,7 @@ each (``tidy``).
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,8 +19,10 @@ from pyspark import cloudpickle
 
 CHUNK_BYTES, SLICE_ROWS = 1 << 18, 256
 U = np.uint64
-#: Odd multipliers that are 3 modulo 4, so that differences of powers lose one bit at most.
-P_CHAR, P_WORD = 0x9E3779B97F4A7C1B, 0xD6E8FEB86659FD97
+#: An odd multiplier that is 3 modulo 4, so that differences of powers lose one bit at most.
+P_WORD = 0xD6E8FEB86659FD97
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -57,14 +60,10 @@ def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     return p[:size], q[:size]
 
 
-def _char_table(lower: bool) -> np.ndarray:
-    t = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
-    if lower:
-        t[65:91] = t[97:123]
-    return t
-
-
-_CHARS = {low: _char_table(low) for low in (False, True)}
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] = _LOWER[97:123]
+#: Masks of the first 0 to 8 bytes of a little-endian word.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -84,15 +83,15 @@ def slices(col: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         yield lo, [x or b"" for x in col.slice(lo, SLICE_ROWS).cast(pa.binary()).to_pylist()]
 
 
-def chunks(col: pa.Array, lower: bool = False) -> Iterator[Chunk]:
+def chunks(col: pa.Array, lower: bool = False, seed: int = 0) -> Iterator[Chunk]:
     for start, texts in slices(col):
         lo = size = 0
         for hi, t in enumerate(texts):
             if hi > lo and size + len(t) > CHUNK_BYTES:
-                yield _chunk(start + lo, start + hi, texts[lo:hi], lower)
+                yield _chunk(start + lo, start + hi, texts[lo:hi], lower, seed)
                 lo, size = hi, 0
             size += len(t) + 1
-        yield _chunk(start + lo, start + len(texts), texts[lo:], lower)
+        yield _chunk(start + lo, start + len(texts), texts[lo:], lower, seed)
 
 
 def tidy() -> None:
@@ -105,18 +104,35 @@ def tidy() -> None:
         pass
 
 
-def _chunk(lo: int, hi: int, texts: list[bytes], lower: bool) -> Chunk:
-    data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+def _chunk(lo: int, hi: int, texts: list[bytes], lower: bool, seed: int) -> Chunk:
+    raw = b"\n".join(texts) + b"\n" + bytes(8)
+    data = np.frombuffer(raw, dtype=np.uint8)
+    if lower:
+        data = _LOWER[data]
     ends = np.cumsum([len(t) + 1 for t in texts])
-    word = ~_SPACE[data]
+    word = ~_SPACE[data[:-8]]
     edge = np.flatnonzero(np.diff(word.view(np.int8), prepend=np.int8(0)))
     starts, stops = edge[0::2], edge[1::2]
-    p, inv = powers(P_CHAR, len(data) + 1)
-    acc = np.zeros(len(data) + 1, dtype=U)
-    np.cumsum(_CHARS[lower][data] * p[:-1], out=acc[1:])
-    hashes = mix((acc[stops] - acc[starts]) * inv[starts] + (stops - starts).astype(U))
     at = np.concatenate([[0], np.searchsorted(starts, ends)])
-    return Chunk(lo, hi, texts, hashes, at)
+    return Chunk(lo, hi, texts, _word_names(data, starts, stops, seed), at)
+
+
+def _word_names(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, seed: int) -> np.ndarray:
+    """Each word eight bytes at a time: the name so far and the next bytes are mixed, from the seed and
+    the length on. No sum of powers, which patterned words of 2,048 bytes cancel whatever the base."""
+    n = stops - starts
+    names = mix(n.astype(U) + mix(np.full(1, seed + 1, dtype=U)))
+    eight = np.ndarray(shape=(len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+    left = np.flatnonzero(n <= LONG_WORD)
+    for k in range(0, LONG_WORD, 8):
+        left = left[n[left] > k]
+        if not len(left):
+            break
+        names[left] = mix(names[left] ^ (eight[starts[left] + k] & _FIRST[np.minimum(n[left] - k, 8)]))
+    for i in np.flatnonzero(n > LONG_WORD):
+        digest = hashlib.blake2b(data[starts[i] : stops[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest()
+        names[i] = np.frombuffer(digest, dtype="<u8")[0]
+    return names
 
 
 class Spans:

@@ -74,23 +74,34 @@ def attach(
     return left.join(right, cond, how).drop(*[f"_r_{k}" for k in on], "_salt")
 
 
+def dealt(df: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
+    """Groups of ``df`` that are to be joined back with its rows.
+
+    They are grouped by the keys as one struct, so that the join cannot reuse the groups' partitioning:
+    both of its sides get an exchange of their own, and adaptive execution can then split a key that
+    very many rows have. (With one exchange for both, a hot key would be one task.)
+    """
+    groups = df.groupBy(F.struct(*keys).alias("_key")).agg(*aggs)
+    return groups.select(*[F.col("_key")[k].alias(k) for k in keys], *[c for c in groups.columns if c != "_key"])
+
+
 def components(store: Scratch, edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``; component is the smallest node reachable.
 
     Alternating large-star and small-star rounds (each node's neighbours are hung on the smallest
-    one). Both are grouped minima, combined before the shuffle, plus an equi-join that adaptive
-    execution can split, so a star with very many leaves is dealt over tasks. Every round is cut to
+    one). Both are grouped minima, combined before the shuffle, plus an equi-join whose sides are dealt
+    out for it (``dealt``), so a star with very many leaves is split over tasks. Every round is cut to
     the shared folder; it ends when a round changes nothing.
     """
     cur = store.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}0")
     mark = _mark(cur)
     for i in range(1, max_rounds + 1):
         both = cur.select("a", "b").union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = dealt(both, ["a"], F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: the larger end of each edge hangs its smaller neighbours on the smallest
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
+        least = dealt(down, ["a"], F.min("b").alias("m"))
         small = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
         nxt = store.cut(small, f"{name}{i}")
         new = _mark(nxt)

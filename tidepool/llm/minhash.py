@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._arrays import SLICE_ROWS, Spans, U, chunks, mix, shipped, tidy
-from ._store import Scratch, attach, components
+from ._store import Scratch, attach, components, dealt
 
 shipped(__name__)
 
@@ -152,22 +152,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sig = store.cut(rows.mapInArrow(_signatures, SIGNATURES), "signatures")
     # A class is a set of shingles; its name is the smallest doc_id that has it (null if none).
-    names = sig.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("cls"))
+    names = dealt(sig.where("n_shingles > 0"), ["s1", "s2"], F.min("doc_id").alias("cls"))
     member = store.cut(sig.select("doc_id", "n_shingles", "s1", "s2").join(names, ["s1", "s2"], "left"), "member")
     reps = names.where("cls is not null").join(sig.select("s1", "s2", F.col("doc_id").alias("cls"), "n_shingles", "bands", "packed"), ["s1", "s2", "cls"])
     reps = store.cut(reps.dropDuplicates(["s1", "s2"]).select("cls", "s1", "s2", F.col("n_shingles").alias("n"), "bands", "packed"), "reps")
     store.drop("signatures")
 
     band = reps.select("cls", F.explode("bands").alias("key"))
-    several = band.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    # Grouped sides are written before they are joined back, so that a hot bucket can be split.
-    bucket = store.cut(band.join(store.cut(several, "several"), "key"), "buckets")
+    several = dealt(band, ["key"], F.count("*").alias("c")).where("c > 1")
+    bucket = store.cut(band.join(several, "key"), "buckets")
     # How common a class's minima are: the text from which others were made has the highest weight.
     weight = store.cut(bucket.groupBy("cls").agg(F.sum("c").alias("w")), "weights")
     bucket = store.cut(bucket.select("key", "cls").join(weight, "cls"), "weighted")
     links, comp, old = None, weight.select("cls", F.col("cls").alias("comp")), []
     for r in range(MAX_ROUNDS):
-        mixed = store.cut(_mixed(store, bucket, comp, f"lead{r}"), f"mixed{r}")
+        mixed = store.cut(_mixed(bucket, comp), f"mixed{r}")
         star = mixed.where("comp <> lead.comp").select(F.col("cls").alias("a"), F.col("lead.cls").alias("b"))
         star = _likely(star.distinct(), reps, percent)
         if r == 0:
@@ -178,7 +177,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
         if found or r == 0:
             comp = components(store, links, f"cc{r}-")
             comp = store.cut(weight.select("cls").join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("comp")), f"comp{r}")
-            bucket = bucket.join(store.cut(_still_mixed(bucket, comp), f"keys{r}"), "key")
+            bucket = bucket.join(_still_mixed(bucket, comp), "key")
         for name in old:
             store.drop(name)
         old = [f"mixed{r}", f"sets{r}"]
@@ -199,16 +198,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
 
 def _still_mixed(bucket: DataFrame, comp: DataFrame) -> DataFrame:
     """``key`` of the buckets whose classes are in several components."""
-    return bucket.join(comp, "cls").groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    return dealt(bucket.join(comp, "cls"), ["key"], F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
 
 
-def _mixed(store: Scratch, bucket: DataFrame, comp: DataFrame, name: str) -> DataFrame:
+def _mixed(bucket: DataFrame, comp: DataFrame) -> DataFrame:
     """``key, cls, comp`` and the bucket's ``lead(comp, cls)``: of the component with most members, the
     class with the highest weight. Grouped maxima only."""
     inside = bucket.join(comp, "cls")
     per = inside.groupBy("key", "comp").agg(F.count("*").alias("c"), F.max(F.struct("w", "cls")).alias("top"))
-    lead = per.groupBy("key").agg(F.max(F.struct("c", "top", "comp")).alias("x"))
-    lead = store.cut(lead.select("key", F.struct(F.col("x.comp").alias("comp"), F.col("x.top.cls").alias("cls")).alias("lead")), name)
+    lead = dealt(per, ["key"], F.max(F.struct("c", "top", "comp")).alias("x"))
+    lead = lead.select("key", F.struct(F.col("x.comp").alias("comp"), F.col("x.top.cls").alias("cls")).alias("lead"))
     return inside.select("key", "cls", "comp").join(lead, "key")
 
 
@@ -240,6 +239,11 @@ def _confirmed(store: Scratch, pairs: DataFrame, reps: DataFrame, rows: DataFram
     return _similar(pairs, _sets_of(store, ids, reps, rows, name), percent)
 
 
+def _size_class(n: Column) -> Column:
+    """Classes of sizes that differ by 2 % at most."""
+    return F.floor(F.log(n.cast("double")) / F.lit(math.log(1.02))).cast("int")
+
+
 def _prefix_pairs(sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     """All pairs of classes of different components that can be similar enough, by prefixes.
 
@@ -248,19 +252,26 @@ def _prefix_pairs(sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     enough. Shingles of one class take places but meet nothing, so texts that were each changed in
     several places meet few others. Every prefix key with several components pairs the classes
     outside its largest with the others.
+
+    What is left from a key on bounds the partner's size, from above by ``most`` and by the similarity
+    itself. The join is by key and size class, so only pairs of fitting sizes are made: pages of one
+    template, where what is left is the template, meet only where they are similar enough.
     """
     flat = sets.select("cls", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
-    df = flat.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    df = dealt(flat, ["key"], F.count("*").alias("df")).where("df > 1")
     known = flat.join(df, "key").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("ks"))
     first = F.col("n") - F.size("ks")
     take = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("int") + 1 - first
     prefix = known.where(take > 0).select("cls", "n", F.posexplode(F.slice("ks", F.lit(1), take)).alias("i", "k"), first.alias("first"))
     prefix = prefix.select(F.col("k.key").alias("key"), "cls", "n", (F.col("n") - F.col("first") - F.col("i")).alias("rest")).join(comp, "cls")
+    most = F.floor(F.col("rest") * (100 + percent) / percent).cast("int") - F.col("n")
+    prefix = prefix.withColumns({"least": F.ceil(F.lit(percent) * F.col("n") / 100).cast("int"), "most": F.least(F.floor(F.lit(100) * F.col("n") / percent).cast("int"), most)}).where("least <= most")
     sizes = prefix.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"), F.count("*").alias("k")).where("k > 1").select("key", "main")
+    main = dealt(sizes, ["key"], F.max(F.struct("c", "comp"))["comp"].alias("main"), F.count("*").alias("k")).where("k > 1").select("key", "main")
     some = prefix.join(main, "key")
-    a = some.where("comp <> main").select("key", *[F.col(c).alias(f"{c}_a") for c in ("cls", "n", "rest", "comp")])
-    b = some.select("key", "main", *[F.col(c).alias(f"{c}_b") for c in ("cls", "n", "rest", "comp")])
-    fits = (F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")) & (F.least("rest_a", "rest_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
-    met = a.join(b, (a["key"] == b["key"]) & F.expr("comp_a <> comp_b and (comp_b = main or cls_a < cls_b)") & fits)
+    sides = ("cls", "n", "most", "comp")
+    a = some.where("comp <> main").select("key", F.explode(F.sequence(_size_class(F.col("least")), _size_class(F.col("most")))).alias("size"), *[F.col(c).alias(f"{c}_a") for c in sides])
+    b = some.select("key", _size_class(F.col("n")).alias("size"), "main", *[F.col(c).alias(f"{c}_b") for c in sides])
+    fits = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and n_b <= most_a and n_a <= most_b")
+    met = a.join(b, (a["key"] == b["key"]) & (a["size"] == b["size"]) & F.expr("comp_a <> comp_b and (comp_b = main or cls_a < cls_b)") & fits)
     return met.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
