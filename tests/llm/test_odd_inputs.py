@@ -82,8 +82,11 @@ def test_components(spark):
     from tidepool.llm._store import Scratch, components
 
     rows = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(7, 200), (200, 7), (300, 301), (301, 302), (302, 300), (5, 5)]
-    got = {r.node: r.component for r in components(Scratch(spark, "t"), spark.createDataFrame(rows, "a long, b long")).collect()}
-    assert got == {**{i: 0 for i in range(41)}, 200: 0, **{i: 100 for i in range(100, 160)}, 300: 300, 301: 300, 302: 300}
+    edges = spark.createDataFrame(rows, "a long, b long")
+    for few in (0, 1000):
+        got = {r.node: r.component for r in components(Scratch(spark, "t"), edges, few=few).collect()}
+        assert got == {**{i: 0 for i in range(41)}, 200: 0, **{i: 100 for i in range(100, 160)}, 300: 300, 301: 300, 302: 300}
+        assert components(Scratch(spark, "t"), edges.where("false"), few=few).count() == 0
 
 
 @pytest.mark.parametrize("name", ["tidepool", "tidepool.queries"])

@@ -7,12 +7,20 @@ executor can read), so a lost executor costs a re-read and never a recomputation
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.storage import BROADCAST_ROWS, shared_dir
+from ._arrays import shipped
 
+shipped(__name__)
+
+#: A graph of at most so many edges (16 bytes each) is solved by one task; larger ones in rounds.
+FEW_EDGES = 500_000
 #: Copies of each row of a side that is too large for a broadcast (see ``attach``).
 SALTS = 16
 
@@ -85,16 +93,38 @@ def dealt(df: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
     return groups.select(*[F.col("_key")[k].alias(k) for k in keys], *[c for c in groups.columns if c != "_key"])
 
 
-def components(store: Scratch, edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
+def _least_reachable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of a partition's edges: labels are hung on smaller ones and paths halved until all agree."""
+    parts = list(batches)
+    a, b = (np.concatenate([np.zeros(0, np.int64), *(x.column(k).to_numpy(zero_copy_only=False) for x in parts)]) for k in (0, 1))
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        new, low = label.copy(), np.minimum(label[a], label[b])
+        for side in (a, b):
+            np.minimum.at(new, side, low)
+            np.minimum.at(new, label[side], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["node", "component"])
+
+
+def components(store: Scratch, edges: DataFrame, name: str = "cc", max_rounds: int = 60, few: int = FEW_EDGES) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``; component is the smallest node reachable.
 
-    Alternating large-star and small-star rounds (each node's neighbours are hung on the smallest
+    The edges are counted. At most ``few`` of them are solved by one task. More are solved in rounds:
+    alternating large-star and small-star rounds (each node's neighbours are hung on the smallest
     one). Both are grouped minima, combined before the shuffle, plus an equi-join whose sides are dealt
     out for it (``dealt``), so a star with very many leaves is split over tasks. Every round is cut to
     the shared folder; it ends when a round changes nothing.
     """
     cur = store.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}0")
     mark = _mark(cur)
+    if mark[0] <= few:
+        return store.cut(cur.coalesce(1).mapInArrow(_least_reachable, "node long, component long"), f"{name}-solved")
     for i in range(1, max_rounds + 1):
         both = cur.select("a", "b").union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = dealt(both, ["a"], F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
