@@ -44,6 +44,27 @@ def test_resume(spark, tmp_path):
         Lake(spark, {"a": a, "z": b}, root).build(resume=True)
 
 
+def test_resume_after_a_failure(spark, tmp_path, monkeypatch):
+    """A run that breaks between the copies of its third group leaves two groups, and the next run ends it."""
+    frames = {n: spark.createDataFrame([(f"{n}{i}", i) for i in range(5)], "c string, x int") for n in "abcd"}
+    root, write, count = str(tmp_path / "lake"), Lake._write_by_token, []
+
+    def broken(self, cells, folder):
+        count.append(folder)
+        if len(count) == 3:
+            raise RuntimeError("lost")
+        write(self, cells, folder)
+
+    monkeypatch.setattr(Lake, "_write_by_token", broken)
+    with pytest.raises(RuntimeError):
+        Lake(spark, frames, root).build(group_cells=1)
+    assert Lake(spark, frames, root)._loaded() == {0, 1}
+    lake = Lake(spark, frames, root).build(resume=True, group_cells=1)
+    assert len(count) == 5 and count[2] == count[3]  # the broken group again, then the last; the others were kept
+    assert lake.copies_agree() and lake.by_token().count() == lake.by_row().count() == 40
+    assert Lake(spark, frames, root).by_row().groupBy("table_id").count().count() == 4
+
+
 def test_row_numbers_over_files(spark, tmp_path):
     p = str(tmp_path / "many")
     spark.range(0, 100, 1, 4).selectExpr("cast(id as string) as v").write.parquet(p)

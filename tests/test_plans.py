@@ -10,7 +10,7 @@ from tidepool.operators.filters import IdFilter
 from tidepool.plans import config, correctness, costs, tasks
 from tidepool.plans import nodes as N
 from tidepool.plans.plan import Plan
-from tidepool.plans.planner import Engine, Options, depths
+from tidepool.plans.planner import Engine, Options, Reach, reach
 from tidepool.sources.lake import Lake
 
 
@@ -134,9 +134,29 @@ def test_plan(engine):
         N.Union(("x",))
 
 
-def test_depths():
-    assert (depths(10).fetch, depths(10).vote) == (30, 20)
-    assert depths(10, pinned=7).vote == 7 and depths(3, filtered=5, total=40).fetch == 40
+def test_reach():
+    node, o = N.SemanticUnion(table_id=0, k=10), Options()
+    assert reach(node, o, 900) == Reach(30, 20, True) and reach(node, o, 5000) == Reach(30, 20, False)
+    assert reach(node, o, 5000, 40) == Reach(40, 40, True) and reach(node, o, 5000, 3000) == Reach(500, 500, False)
+    assert reach(N.SemanticUnion(table_id=0, k_coarse=7), o, 5000, 40) == Reach(7, 7, True)
+    late = N.SemanticUnion(table_id=0, prefilter=False)
+    assert not reach(late, o, 5000, 40).exact  # the filter comes after the search
+    assert reach(node, Options(exact_columns=10), 11, 10).exact and not reach(node, Options(exact_columns=10), 11).exact
+
+
+def test_dispatch(spark, tiny):
+    """More columns than ``exact_columns`` are searched by hashing, fewer after a filter exactly."""
+    r = __import__("random").Random(0)
+    centre = [[r.gauss(0, 1) for _ in range(16)] for _ in range(4)]
+    rows = [(i, i % 4, i, [x + r.gauss(0, 0.3) for x in centre[i % 3]]) for i in range(200)]
+    v = spark.createDataFrame(rows, "global_id long, table_id int, colid int, embedding array<double>")
+    node = N.SemanticUnion(table_id=1, k=3)
+    engine = lambda n: Engine(tiny, v, options=Options(exact_columns=n))
+    plan = lambda e, keep: e.scored(node, keep)._jdf.queryExecution().analyzed().toString()
+    none, one = IdFilter(), IdFilter.of(deny=[3])
+    assert "_code" in plan(engine(100), none) and "_code" not in plan(engine(1000), none)
+    assert "_code" in plan(engine(149), one) and "_code" not in plan(engine(150), one)
+    assert ids(engine(100).run(node)) == ids(engine(1000).run(node))
 
 
 def test_config():

@@ -13,23 +13,25 @@ def align(cells: DataFrame, examples: DataFrame, candidates: DataFrame) -> DataF
     ``(k, v)`` in its rows; the first pair in column order on ties."""
     ex = small(examples.where("k <> '' and v <> ''").select("k", "v"))
     c = cells.join(small(candidates.select("table_id").distinct()), "table_id", "left_semi")
-    k = c.select("table_id", "rowid", F.col("colid").alias("kc"), F.col("token").alias("k")).join(ex.select("k").distinct(), "k", "left_semi")
-    pairs = k.join(c.select("table_id", "rowid", F.col("colid").alias("vc"), F.col("token").alias("v")), ["table_id", "rowid"]).where("kc <> vc")
-    found = pairs.select("table_id", "kc", "vc", "k", "v").distinct().join(ex, ["k", "v"])
+    # The cells of an example's key name the value that its row must have: few rows ask for few cells.
+    k = c.select("table_id", "rowid", F.col("colid").alias("kc"), F.col("token").alias("k")).join(ex, "k")
+    pairs = c.select("table_id", "rowid", F.col("colid").alias("vc"), F.col("token").alias("v")).join(ex.select("v").distinct(), "v", "left_semi")
+    found = pairs.join(k, ["table_id", "rowid", "v"]).where("kc <> vc").select("table_id", "kc", "vc", "k", "v").distinct()
     w = Window.partitionBy("table_id").orderBy(F.desc("score"), "kc", "vc")
     return found.groupBy("table_id", "kc", "vc").agg(F.count("*").alias("score")).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def mapping(cells: DataFrame, aligned: DataFrame) -> DataFrame:
-    """``table_id, k, v``: of rows with one key the first gives the value."""
+def mapping(cells: DataFrame, aligned: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """``table_id, k, v``: of rows with one key the first gives the value. ``keys(k)``: only these."""
     a = cells.join(small(aligned.select("table_id", F.col("kc").alias("colid"))), ["table_id", "colid"]).select("table_id", "rowid", F.col("token").alias("k")).where("k <> ''")
+    a = a if keys is None else a.join(small(keys.select("k").distinct()), "k", "left_semi")
     b = cells.join(small(aligned.select("table_id", F.col("vc").alias("colid"))), ["table_id", "colid"]).select("table_id", "rowid", F.col("token").alias("v")).where("v <> ''")
     return a.join(b, ["table_id", "rowid"]).groupBy("table_id", "k").agg(F.min_by("v", "rowid").alias("v"))
 
 
 def vote(cells: DataFrame, ranked: DataFrame, examples: DataFrame, masked: DataFrame) -> DataFrame:
     """``k, v, votes`` for each masked key: the value of most candidates, the best ranked on ties."""
-    m = mapping(cells, align(cells, examples, ranked)).join(small(masked.select("k").distinct()), "k", "left_semi").join(small(ranked.select("table_id", "rank")), "table_id")
+    m = mapping(cells, align(cells, examples, ranked), masked).join(small(ranked.select("table_id", "rank")), "table_id")
     votes = m.groupBy("k", "v").agg(F.count("*").alias("votes"), F.min("rank").alias("best"))
     w = Window.partitionBy("k").orderBy(F.desc("votes"), "best", "v")
     return votes.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("k", "v", "votes")

@@ -21,9 +21,6 @@ from ..operators.vectors import DEFAULT_PLANES
 from ..sources.lake import Lake
 from . import nodes as N
 
-FETCH_MARGIN = 10
-
-
 @dataclass(frozen=True)
 class Options:
     pushdown: bool = True
@@ -31,29 +28,42 @@ class Options:
     guard_width: int | None = None
     #: Approximate inputs of an intersection run last.
     exact_first: bool = False
-    #: A filtered search of at most so many columns is exact.
+    #: A semantic search of at most so many columns is exact, of more by hashing.
     exact_columns: int = 1035
     #: What a filtered search fetches for each query column.
     filtered_depth: int = 500
+    #: Columns fetched beyond those that vote, in place of the query table's own.
+    spare: int = 10
+    #: Codes of each vector for hashing, and the bits of a code.
+    hash_tables: int = 24
+    hash_bits: int = 6
 
 
 @dataclass(frozen=True)
-class Depths:
+class Reach:
+    """How far a semantic search looks: the columns fetched for each query column, how many of them
+    vote, and whether all searched columns are compared."""
+
     fetch: int
     vote: int
-    regime: str
+    exact: bool
+
 
+def reach(node: N.SemanticUnion, options: Options, stored: int, left: int | None = None) -> Reach:
+    """``stored`` columns are in the index; a table filter leaves ``left`` of them (None: no filter).
 
-def depths(k: int, vote_factor: float = 2.0, pinned: int | None = None, filtered: int | None = None, total: int | None = None, width: int = 500, exact: bool = True) -> Depths:
-    """How many columns a search fetches and lets vote. ``pinned``: set by hand; ``filtered``: the
-    number of columns that a filter leaves."""
-    if pinned is not None:
-        return Depths(pinned, pinned, "pinned")
-    if filtered is not None:
-        n = min(width, total) if total else width
-        return Depths(n, n, "restricted_exact" if exact else "restricted_ann")
-    vote = max(1, round(vote_factor * max(1, k)))
-    return Depths(vote + FETCH_MARGIN, vote, "unrestricted")
+    A depth set on the node holds as it is. A filter has chosen the candidates already, so all that are
+    fetched vote. Otherwise the votes follow from ``k``.
+    """
+    searched = stored if left is None or not node.prefilter else left
+    if node.k_coarse is not None:
+        fetch = vote = node.k_coarse
+    elif left is not None:
+        fetch = vote = min(options.filtered_depth, searched)
+    else:
+        vote = max(1, round(node.vote_factor * max(node.k, 1)))
+        fetch = vote + options.spare
+    return Reach(fetch, vote, searched <= options.exact_columns)
 
 
 @dataclass
@@ -174,14 +184,23 @@ class Engine:
             raise KeyError(f"query column not indexed: table {node.table_id}, column {node.colid}")
         return own.select(F.col("colid").alias("query_col"), F.col("table_id").alias("query_table"), "embedding")
 
+    def _stored(self, keep: IdFilter) -> int:
+        """Stored columns that the filter leaves; counted once."""
+        key = ("stored", keep)
+        if key not in self._memo:
+            self._memo[key] = keep.on(self.vectors).count()
+        return self._memo[key]
+
     def _semantic(self, node: N.SemanticUnion, keep: IdFilter) -> DataFrame:
         if self.vectors is None:
             raise ValueError("the lake has no vector index")
         q = self.query_vectors(node)
-        filtered = keep.allow is not None
-        d = depths(node.k, node.vote_factor, node.k_coarse, 0 if filtered else None, width=self.options.filtered_depth)
+        d = reach(node, self.options, self._stored(IdFilter()), self._stored(keep) if keep != IdFilter() else None)
         before = keep if node.prefilter else IdFilter()
-        hits = vectors.nearest(q, self.vectors, d.fetch, before)
+        if d.exact:
+            hits = vectors.nearest(q, self.vectors, d.fetch, before)
+        else:
+            hits = vectors.lsh_nearest(q, before.on(self.vectors), d.fetch, self.options.hash_tables, self.options.hash_bits)
         hits = hits.select(F.lit(0).alias("query"), "query_col", "r", "table_id", (-F.col("similarity")).alias("distance"))
         if node.rollup == "max_pool":
             out = rollup.max_pool(hits)

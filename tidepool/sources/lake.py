@@ -26,6 +26,8 @@ from .storage import exists, remove, shared_dir
 NA_VALUES = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 #: Cells in a partition of the written index.
 CELLS_PER_PARTITION = 2_000_000
+#: Cells of the tables that are written, and marked as done, together.
+GROUP_CELLS = 1_000_000_000
 
 CELLS = "table_id int, colid int, rowid long, token string, quadrant boolean"
 
@@ -111,18 +113,25 @@ class Lake:
         first = self.spark.createDataFrame(starts, "_file string, _first long")
         return rows.join(F.broadcast(first), "_file").withColumn("_rowid", F.col("_rowid") + F.col("_first")).drop("_file", "_first")
 
-    def explode(self, name: str) -> DataFrame:
+    def profile(self, names: Iterable[str]) -> dict[str, tuple[int, list]]:
+        """Rows, and the mean of each column that holds numbers (None for others), of the tables; one job."""
+        parts = []
+        for n in names:
+            df = self.frames[n]
+            means = [F.avg(F.col(f"`{f.name}`")).cast("double") if isinstance(f.dataType, T.NumericType) else F.lit(None).cast("double") for f in df.schema.fields]
+            parts.append(df.agg(F.count("*").alias("n"), F.array(*means).alias("means")).select(F.lit(n).alias("name"), "n", "means"))
+        return {r["name"]: (r["n"], r["means"]) for r in reduce(DataFrame.unionAll, parts).collect()}
+
+    def explode(self, name: str, means: list | None = None) -> DataFrame:
         """One table's cells. A number is in the upper quadrant from its column's mean on; a missing
         number is not, and a cell of another type has none."""
         df, table_id = self.frames[name], self.id_of(name)
-        numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
-        means = df.agg(*[F.avg(F.col(f"`{c}`")).alias(f"m{i}") for i, c in enumerate(numeric)]).first() if numeric else ()
-        mean = dict(zip(numeric, means, strict=True))
+        means = self.profile([name])[name][1] if means is None else means
         cells = []
         for j, f in enumerate(df.schema.fields):
-            c = F.col(f"`{f.name}`")
-            upper = F.coalesce(c >= F.lit(mean[f.name]), F.lit(False)) if f.name in mean else F.lit(None).cast("boolean")
-            if isinstance(f.dataType, (T.FloatType, T.DoubleType)) and f.name in mean:
+            c, number = F.col(f"`{f.name}`"), isinstance(f.dataType, T.NumericType)
+            upper = F.coalesce(c >= F.lit(means[j]), F.lit(False)) if number else F.lit(None).cast("boolean")
+            if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
                 upper = upper & ~F.isnan(c)
             cells.append(F.struct(F.lit(j).alias("colid"), token(c).alias("token"), upper.alias("quadrant")))
         rows = self._spread(self.numbered(name)).select("_rowid", F.explode(F.array(*cells)).alias("c"))
@@ -131,7 +140,7 @@ class Lake:
     def _spread(self, rows: DataFrame) -> DataFrame:
         """A table of one large row group is one task; deal its rows out before they become cells."""
         wide = self.spark.sparkContext.defaultParallelism
-        return rows.repartition(wide) if rows._jdf.queryExecution().toRdd().getNumPartitions() < wide else rows
+        return rows.repartitionByRange(wide, "_rowid") if rows._jdf.queryExecution().toRdd().getNumPartitions() < wide else rows
 
     def raw(self, name: str) -> DataFrame:
         """One table's cells as written: ``table_id, colid, rowid, value``; null for empty ones."""
@@ -141,42 +150,65 @@ class Lake:
         return rows.select(F.lit(self.id_of(name)).alias("table_id"), "c.colid", F.col("_rowid").cast("long").alias("rowid"), "c.value")
 
     def all_cells(self) -> DataFrame:
-        return reduce(DataFrame.unionAll, [self.explode(n) for n in self.names])
+        profile = self.profile(self.names)
+        return reduce(DataFrame.unionAll, [self.explode(n, profile[n][1]) for n in self.names])
 
     # -- the written index ---------------------------------------------------------------------
 
-    def build(self, resume: bool = False) -> Lake:
-        """Write the index. ``resume``: only tables that it does not have; the names and their ids must
-        not have changed since."""
+    def build(self, resume: bool = False, group_cells: int = GROUP_CELLS) -> Lake:
+        """Write the index, in groups of tables of about ``group_cells`` cells. A group has a folder of
+        its own in each copy and is marked when both are written. ``resume``: only tables that no marked
+        group has; what a broken run left of a group is overwritten. The names and their ids must not
+        have changed since."""
         names = f"{self.root}/sidecar"
         if resume and exists(self.spark, names):
             was = [r["name"] for r in self.spark.read.parquet(names).orderBy("table_id").collect()]
             if was != self.names:
                 raise ValueError("the lake's tables differ from those of the index")
-            done = {r["table_id"] for r in self.spark.read.parquet(f"{self.root}/loaded").collect()} if exists(self.spark, f"{self.root}/loaded") else set()
         else:
+            for part in ("loaded", "by_token", "by_row", "rowkeys"):
+                remove(self.spark, f"{self.root}/{part}")
             self.sidecar().coalesce(1).write.mode("overwrite").parquet(names)
-            done = set()
+        done = self._loaded()
         todo = [n for n in self.names if self.id_of(n) not in done]
         if todo:
-            mode = "append" if done else "overwrite"
-            cells = reduce(DataFrame.unionAll, [self.explode(n) for n in todo])
-            total = sum(self.frames[n].count() * len(self.frames[n].columns) for n in todo)
-            parts = max(1, min(total // CELLS_PER_PARTITION + 1, 100_000))
-            # Written as they come first: choosing ranges reads them once more.
-            cells.write.mode("overwrite").parquet(f"{self.root}/staging")
-            cells = self.spark.read.schema(CELLS).parquet(f"{self.root}/staging")
-            # Ranges of (token, table, row): a very frequent token is cut into several files.
-            cells.repartitionByRange(parts, "token", "table_id", "rowid").sortWithinPartitions("token", "table_id", "colid", "rowid").write.mode(mode).parquet(f"{self.root}/by_token")
-            cells.repartitionByRange(parts, "table_id", "rowid").sortWithinPartitions("table_id", "rowid", "colid").write.mode(mode).parquet(f"{self.root}/by_row")
-            remove(self.spark, f"{self.root}/staging")
-            self.spark.createDataFrame([(self.id_of(n),) for n in todo], "table_id int").coalesce(1).write.mode(mode).parquet(f"{self.root}/loaded")
+            remove(self.spark, f"{self.root}/rowkeys")
+            profile, group, size = self.profile(todo), [], 0
+            for i, n in enumerate(todo):
+                group.append(n)
+                size += profile[n][0] * len(self.frames[n].columns)
+                if size >= group_cells or i == len(todo) - 1:
+                    self._write_group(group, profile, size)
+                    group, size = [], 0
+        self._cache["complete"] = True
         return self
 
+    def _write_group(self, group: list[str], profile: dict, size: int) -> None:
+        folder = f"group-{self.id_of(group[0]):08d}"
+        cells = reduce(DataFrame.unionAll, [self.explode(n, profile[n][1]) for n in group])
+        # A table's cells come in the order of its rows, so this copy needs no shuffle of cells.
+        cells.sortWithinPartitions("table_id", "rowid", "colid").write.mode("overwrite").parquet(f"{self.root}/by_row/{folder}")
+        cells = self.spark.read.schema(CELLS).parquet(f"{self.root}/by_row/{folder}")
+        # Ranges of (token, table, row): a very frequent token is cut into several files.
+        parts = max(1, min(size // CELLS_PER_PARTITION + 1, 100_000))
+        self._write_by_token(cells.repartitionByRange(parts, "token", "table_id", "rowid").sortWithinPartitions("token", "table_id", "colid", "rowid"), folder)
+        self.spark.createDataFrame([(self.id_of(n),) for n in group], "table_id int").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/loaded/{folder}")
+
+    def _write_by_token(self, cells: DataFrame, folder: str) -> None:
+        cells.write.mode("overwrite").parquet(f"{self.root}/by_token/{folder}")
+
+    def _loaded(self) -> set[int]:
+        """Tables of the marked groups."""
+        if not exists(self.spark, f"{self.root}/loaded"):
+            return set()
+        marks = self.spark.read.schema("table_id int").option("recursiveFileLookup", True).parquet(f"{self.root}/loaded")
+        return {r["table_id"] for r in marks.collect()}
+
     def _read(self, copy: str) -> DataFrame:
-        if not exists(self.spark, f"{self.root}/{copy}/_SUCCESS"):
+        if "complete" not in self._cache and len(self._loaded()) < len(self.names):
             self.build()
-        return self.spark.read.schema(CELLS).parquet(f"{self.root}/{copy}")
+        self._cache["complete"] = True
+        return self.spark.read.schema(CELLS).option("recursiveFileLookup", True).parquet(f"{self.root}/{copy}")
 
     def by_token(self) -> DataFrame:
         return self._read("by_token")
