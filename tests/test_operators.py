@@ -63,7 +63,7 @@ def test_nearest_and_engine(spark, tiny):
         for c in range(4):
             want = [int(j) for j in np.argsort(-(unit @ unit[c]), kind="stable") if j // 4][:k]
             assert [got[c, i] for i in range(len(want))] == want
-    assert vectors.recall(vectors.lsh_nearest(q, v, 3, tables=40, bits=2), vectors.nearest(q, v, 3)).first().recall == 1.0
+    assert vectors.recall(vectors.lsh_nearest(q, v, 3), vectors.nearest(q, v, 3)).first().recall == 1.0
     e = Engine(tiny, v)
     assert e.run(N.SemanticUnion(table_id=0, k=3)).count() == 3
     assert e.run(N.SemanticJoin(table_id=0, colid=1, k=3, rollup="max_pool")).count() == 3

@@ -154,8 +154,8 @@ def test_dispatch(spark, tiny):
     engine = lambda n: Engine(tiny, v, options=Options(exact_columns=n))
     plan = lambda e, keep: e.scored(node, keep)._jdf.queryExecution().analyzed().toString()
     none, one = IdFilter(), IdFilter.of(deny=[3])
-    assert "_code" in plan(engine(100), none) and "_code" not in plan(engine(1000), none)
-    assert "_code" in plan(engine(149), one) and "_code" not in plan(engine(150), one)
+    assert "_bits" in plan(engine(100), none) and "_bits" not in plan(engine(1000), none)
+    assert "_bits" in plan(engine(149), one) and "_bits" not in plan(engine(150), one)
     assert ids(engine(100).run(node)) == ids(engine(1000).run(node))
 
 

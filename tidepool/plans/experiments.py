@@ -56,14 +56,14 @@ def depth_grid(hits: DataFrame, truth: DataFrame, fetches: Sequence[int], votes:
 
 
 def ann_frontier(queries: DataFrame, stored: DataFrame, k: int, settings: Sequence[tuple[int, int]]) -> DataFrame:
-    """``tables, bits, recall, seconds`` of the approximate search against the exact one."""
+    """``refine, bits, recall, seconds`` of the approximate search against the exact one."""
     exact = vectors.nearest(queries, stored, k)
     rows = []
-    for tables, bits in settings:
+    for refine, bits in settings:
         start = time.perf_counter()
-        r = vectors.recall(vectors.lsh_nearest(queries, stored, k, tables, bits), exact).first()["recall"]
-        rows.append((tables, bits, float(r), time.perf_counter() - start))
-    return queries.sparkSession.createDataFrame(rows, "tables int, bits int, recall double, seconds double")
+        r = vectors.recall(vectors.lsh_nearest(queries, stored, k, refine, bits), exact).first()["recall"]
+        rows.append((refine, bits, float(r), time.perf_counter() - start))
+    return queries.sparkSession.createDataFrame(rows, "refine int, bits int, recall double, seconds double")
 
 
 def fusion_sweep(first: DataFrame, second: DataFrame, truth: DataFrame, k: int, steps: int = 10) -> DataFrame:

@@ -34,9 +34,9 @@ class Options:
     filtered_depth: int = 500
     #: Columns fetched beyond those that vote, in place of the query table's own.
     spare: int = 10
-    #: Codes of each vector for hashing, and the bits of a code.
-    hash_tables: int = 24
-    hash_bits: int = 6
+    #: Bits of a vector's code for hashing, and candidates of which the cosine is computed, times those fetched.
+    hash_bits: int = 512
+    hash_refine: int = 20
 
 
 @dataclass(frozen=True)
@@ -200,7 +200,7 @@ class Engine:
         if d.exact:
             hits = vectors.nearest(q, self.vectors, d.fetch, before)
         else:
-            hits = vectors.lsh_nearest(q, before.on(self.vectors), d.fetch, self.options.hash_tables, self.options.hash_bits)
+            hits = vectors.lsh_nearest(q, before.on(self.vectors), d.fetch, self.options.hash_refine, self.options.hash_bits)
         hits = hits.select(F.lit(0).alias("query"), "query_col", "r", "table_id", (-F.col("similarity")).alias("distance"))
         if node.rollup == "max_pool":
             out = rollup.max_pool(hits)

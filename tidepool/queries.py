@@ -165,9 +165,9 @@ def cell_profile(spark, d):
     return c.groupBy("table_id", "colid").agg(F.count("*").alias("n"), F.countDistinct("token").alias("n_distinct"), F.count_if(F.col("token") == "").alias("n_empty"), F.count_if("quadrant").alias("n_upper"), F.count_if(F.col("quadrant").isNull()).alias("n_none"))
 
 
-@query(with_cells("SELECT rowid, colid, token, quadrant FROM cells WHERE table_id = 9 AND rowid < 50"))
+@query(with_cells("SELECT rowid, colid, token, quadrant FROM cells WHERE table_id = 9"))
 def cell_explode(spark, d):
-    return lake(spark, d).explode("supplier").where("rowid < 50").select("rowid", "colid", "token", "quadrant")
+    return lake(spark, d).explode("supplier").select("rowid", "colid", "token", "quadrant")
 
 
 @query(with_cells("SELECT token, count(*) AS n FROM cells GROUP BY 1 ORDER BY n DESC, token LIMIT 50"))
@@ -199,9 +199,17 @@ def table_reconstruct(spark, d):
     return lake(spark, d).table(IDS["nation"])
 
 
-@query("SELECT true AS agree")
+_SUMS = "table_id, count(*) AS n, CAST(sum(rowid) AS BIGINT) AS rows, CAST(sum(colid * length(token)) AS BIGINT) AS chars, count(DISTINCT token) AS tokens, max(md5(token)) AS most, count(*) FILTER (quadrant) AS upper"
+
+
+@query(with_cells(f"SELECT 'by_row' AS copy, {_SUMS} FROM cells GROUP BY 2 UNION ALL SELECT 'by_token', {_SUMS} FROM cells GROUP BY 2"))
 def index_parity(spark, d):
-    return spark.createDataFrame([(lake(spark, d).copies_agree(),)], "agree boolean")
+    """Sums and digests of each copy's cells; ``copies_agree`` compares all cells."""
+    l = lake(spark, d)
+    if not l.copies_agree():
+        raise ValueError("the copies of the index differ")
+    one = lambda name, c: c.groupBy("table_id").agg(F.count("*").alias("n"), F.sum("rowid").alias("rows"), F.sum(F.col("colid") * F.length("token")).cast("long").alias("chars"), F.countDistinct("token").alias("tokens"), F.max(F.md5("token")).alias("most"), F.count_if("quadrant").alias("upper")).select(F.lit(name).alias("copy"), "*")
+    return one("by_row", l.by_row()).union(one("by_token", l.by_token()))
 
 
 _SIGNATURE = r"""
@@ -223,9 +231,9 @@ def token_signature(spark, d):
     return t.select("token", signature(F.col("token")).alias("s")).select("token", "s.hi", "s.lo")
 
 
-@query(f"WITH {CELLS}, toks AS (SELECT DISTINCT token FROM cells WHERE table_id IN (5, 8)), {_SIGNATURE} SELECT table_id, rowid, {_half('bit_or(hi)')} AS hi, {_half('bit_or(lo)')} AS lo FROM cells JOIN sig USING (token) WHERE table_id IN (5, 8) GROUP BY 1, 2")
+@query(f"WITH {CELLS}, toks AS (SELECT DISTINCT token FROM cells), {_SIGNATURE} SELECT table_id, rowid, {_half('bit_or(hi)')} AS hi, {_half('bit_or(lo)')} AS lo FROM cells JOIN sig USING (token) GROUP BY 1, 2")
 def rowkey_signature(spark, d):
-    return rowkeys(lake(spark, d).by_row().where("table_id in (5, 8)"))
+    return lake(spark, d).rowkeys()
 
 
 @query(with_cells("SELECT count(*) AS n, count(DISTINCT rowid) AS n_rows FROM cells WHERE rowid < 256"))
@@ -236,9 +244,9 @@ def rowid_slice(spark, d):
 # -- predicates --------------------------------------------------------------------------------------
 
 
-@query(with_cells(f"SELECT table_id, colid, rowid, token FROM cells WHERE token IN {KW} AND rowid < 40"))
+@query(with_cells(f"SELECT table_id, colid, rowid, token FROM cells WHERE token IN {KW}"))
 def token_in(spark, d):
-    return seekers.matching(lake(spark, d), WORDS).where("rowid < 40").select("table_id", "colid", "rowid", "token")
+    return seekers.matching(lake(spark, d), WORDS).select("table_id", "colid", "rowid", "token")
 
 
 @query(with_cells(f"SELECT table_id, count(*) AS n FROM cells WHERE token IN {URGENT} GROUP BY 1"))
@@ -301,9 +309,8 @@ def correlation_search(spark, d):
 
 
 def code_table(spark, d) -> DataFrame:
-    """A written code index of the text columns of small tables."""
-    l = lake(spark, d)
-    return vectors.written_codes(l, ("customer", "nation", "part", "region"))
+    """A written code index of the lake's text columns."""
+    return vectors.written_codes(lake(spark, d), tuple(TABLES))
 
 
 @query()
@@ -325,14 +332,14 @@ def _queries(spark, d, where: str) -> DataFrame:
     return vector_table(spark, d).where(where).select(F.col("colid").alias("query_col"), F.col("table_id").alias("query_table"), "embedding")
 
 
-@query(f"SELECT query_col, r, global_id, table_id, round(similarity, 6) AS similarity FROM ({knn_sql('q.vec_id < 5', 10)})")
+@query(f"SELECT query_col, r, global_id, table_id, round(similarity, 6) AS similarity FROM ({knn_sql('q.vec_id % 20 = 0', 10)})")
 def cosine_topk(spark, d):
-    return vectors.nearest(_queries(spark, d, "global_id < 5"), vector_table(spark, d), 10).select("query_col", "r", "global_id", "table_id", F.round("similarity", 6).alias("similarity"))
+    return vectors.nearest(_queries(spark, d, "global_id % 20 = 0"), vector_table(spark, d), 10).select("query_col", "r", "global_id", "table_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"SELECT query_col, r, global_id, table_id, round(similarity, 6) AS similarity FROM ({knn_sql('q.vec_id < 5', 10, 'v.label IN (1, 3)')})")
+@query(f"SELECT query_col, r, global_id, table_id, round(similarity, 6) AS similarity FROM ({knn_sql('q.vec_id % 20 = 0', 10, 'v.label IN (1, 3)')})")
 def filtered_topk(spark, d):
-    return vectors.nearest(_queries(spark, d, "global_id < 5"), vector_table(spark, d), 10, IdFilter.of(allow=[1, 3])).select("query_col", "r", "global_id", "table_id", F.round("similarity", 6).alias("similarity"))
+    return vectors.nearest(_queries(spark, d, "global_id % 20 = 0"), vector_table(spark, d), 10, IdFilter.of(allow=[1, 3])).select("query_col", "r", "global_id", "table_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"SELECT vec_id, round(e[1], 6) AS first, round(sqrt(list_sum(list_transform(e, lambda x: x * x))), 6) AS length FROM {UNIT}")
@@ -349,27 +356,34 @@ def vote_sql(hits: str, k_vote: int, k: int) -> str:
   GROUP BY 1) ORDER BY rank LIMIT {k}"""
 
 
-@query(vote_sql(knn_sql("q.label = 2 AND q.vec_id < 60", 20), 10, 5))
+@query(vote_sql(knn_sql("q.label = 2", 20), 10, 5))
 def semantic_union(spark, d):
-    own = _queries(spark, d, "table_id = 2 and global_id < 60")
-    return engine(spark, d).run(N.SemanticUnion(table_id=2, vectors=own.select("query_col", "embedding"), k=5)).select("rank", "table_id", "score")
+    return engine(spark, d, exact_columns=1 << 40).run(N.SemanticUnion(table_id=2, k=5)).select("rank", "table_id", "score")
+
+
+@query(vote_sql(knn_sql("q.label = 2", 500, "v.label IN (1, 3)"), 500, 5))
+def semantic_dispatch(spark, d):
+    """The filter leaves few enough columns for an exact search, whatever the index holds."""
+    left = vector_table(spark, d).where("table_id in (1, 3)").count()
+    e = engine(spark, d, exact_columns=left)
+    return seekers.top(e.scored(N.SemanticUnion(table_id=2, k=5), IdFilter.of(allow=[1, 3])), 5, ties=("first", "table_id")).select("rank", "table_id", "score")
 
 
 @query(vote_sql(knn_sql("q.vec_id = 7", 20), 10, 5))
 def semantic_join(spark, d):
     own = read(spark, d, "embeddings").where("vec_id = 7").select("label").first()["label"]
-    return engine(spark, d).run(N.SemanticJoin(table_id=int(own), colid=7, k=5)).select("rank", "table_id", "score")
+    return engine(spark, d, exact_columns=1 << 40).run(N.SemanticJoin(table_id=int(own), colid=7, k=5)).select("rank", "table_id", "score")
 
 
-@query(f"SELECT table_id, round(max(similarity), 6) AS score FROM ({knn_sql('q.vec_id < 5', 20)}) GROUP BY 1")
+@query(f"SELECT table_id, round(max(similarity), 6) AS score FROM ({knn_sql('q.vec_id % 20 = 0', 20)}) GROUP BY 1")
 def max_pool(spark, d):
-    hits = vectors.nearest(_queries(spark, d, "global_id < 5"), vector_table(spark, d), 20).select(F.lit(0).alias("query"), "query_col", "r", "table_id", (-F.col("similarity")).alias("distance"))
+    hits = vectors.nearest(_queries(spark, d, "global_id % 20 = 0"), vector_table(spark, d), 20).select(F.lit(0).alias("query"), "query_col", "r", "table_id", (-F.col("similarity")).alias("distance"))
     return rollup.max_pool(hits).select("table_id", F.round("score", 6).alias("score"))
 
 
-@query(f"SELECT query AS query, table_id, CAST(sum(n - gaps) AS BIGINT) AS score FROM (SELECT *, count(*) OVER (PARTITION BY query_col) AS n, sum(gap) OVER (PARTITION BY query_col ORDER BY r) AS gaps FROM (SELECT *, query_col % 2 AS query, CAST(coalesce(abs(similarity - lag(similarity) OVER (PARTITION BY query_col ORDER BY r)) > 1e-6, false) AS INT) AS gap FROM ({knn_sql('q.vec_id < 8', 15)}))) GROUP BY 1, 2")
+@query(f"SELECT query AS query, table_id, CAST(sum(n - gaps) AS BIGINT) AS score FROM (SELECT *, count(*) OVER (PARTITION BY query_col) AS n, sum(gap) OVER (PARTITION BY query_col ORDER BY r) AS gaps FROM (SELECT *, query_col % 2 AS query, CAST(coalesce(abs(similarity - lag(similarity) OVER (PARTITION BY query_col ORDER BY r)) > 1e-6, false) AS INT) AS gap FROM ({knn_sql('q.vec_id % 20 = 0', 15)}))) GROUP BY 1, 2")
 def decay_vote(spark, d):
-    hits = vectors.nearest(_queries(spark, d, "global_id < 8"), vector_table(spark, d), 15).select((F.col("query_col") % 2).alias("query"), "query_col", "r", "table_id", (-F.col("similarity")).alias("distance"))
+    hits = vectors.nearest(_queries(spark, d, "global_id % 20 = 0"), vector_table(spark, d), 15).select((F.col("query_col") % 2).alias("query"), "query_col", "r", "table_id", (-F.col("similarity")).alias("distance"))
     return rollup.decay_vote(hits).select("query", "table_id", "score")
 
 
@@ -541,11 +555,9 @@ def task_negative_examples(spark, d):
     return engine(spark, d).run(tasks.negative_examples(pairs(spark, d), read(spark, d, "orders").select("o_orderstatus", "o_orderpriority").distinct(), 4))
 
 
-@query(with_cells(mc_sql("SELECT p_size AS a, p_brand AS b FROM part WHERE p_partkey <= 50", 3, "table_id IN (SELECT table_id FROM f)"), f"g AS ({c_sql(_PART3, 30)}), f AS ({c_sql(SIZES, 3, 'table_id NOT IN (SELECT table_id FROM g)')})"))
+@query(with_cells(mc_sql("SELECT p_size AS a, p_brand AS b FROM part", 3, "table_id IN (SELECT table_id FROM f)"), f"g AS ({c_sql(_PART3, 30)}), f AS ({c_sql(SIZES, 3, 'table_id NOT IN (SELECT table_id FROM g)')})"))
 def task_collinearity(spark, d):
-    node = tasks.collinearity(read(spark, d, "part"), "p_size", "p_retailprice", "p_partkey", ["p_size", "p_brand"], 3)
-    few = N.MultiColumn(read(spark, d, "part").where("p_partkey <= 50").select("p_size", "p_brand"), k=6)
-    return engine(spark, d).run(N.Intersection((few, node.inputs[1]), k=3))
+    return engine(spark, d).run(tasks.collinearity(read(spark, d, "part"), "p_size", "p_retailprice", "p_partkey", ["p_size", "p_brand"], 3))
 
 
 _CX = f"{', '.join(f'l{i} AS ({sc_sql(_column("nation", c), 20)})' for i, c in enumerate(('n_nationkey', 'n_name', 'n_regionkey')))}, v AS (SELECT table_id, row_number() OVER (ORDER BY score DESC, table_id) - 1 AS rank FROM (SELECT table_id, count(*) AS score FROM (SELECT table_id FROM l0 UNION ALL SELECT table_id FROM l1 UNION ALL SELECT table_id FROM l2) GROUP BY 1 ORDER BY score DESC, table_id LIMIT 2)), s AS ({sc_sql(_column('nation', 'n_nationkey'), 2)}), c AS ({c_sql('SELECT n_name AS s, n_regionkey AS t FROM nation', 2)})"
@@ -676,12 +688,12 @@ def depth_grid(spark, d):
 
 @query()
 def ann_frontier(spark, d):
-    return experiments.ann_frontier(_queries(spark, d, "global_id % 20 = 0"), vector_table(spark, d), 10, [(4, 6), (12, 6)]).drop("seconds")
+    return experiments.ann_frontier(_queries(spark, d, "global_id % 20 = 0"), vector_table(spark, d), 10, [(5, 128), (20, 512)]).drop("seconds")
 
 
 @query()
 def encoded_columns(spark, d):
-    e = Engine(lake(spark, d), encoders.vector_index(lake(spark, d), names=["nation", "part", "region"]))
+    e = Engine(lake(spark, d), encoders.vector_index(lake(spark, d), names=list(TABLES)))
     q = encoders.query_vectors(spark, read(spark, d, "nation").select("n_name"))
     return e.run(N.SemanticUnion(vectors=q, k=3)).select("rank", "table_id", "score")
 
@@ -696,23 +708,19 @@ def column_types(spark, d):
     return out.select("table_id", "colid", *[F.round(c, 6).alias(c) for c in ("numeric_fraction", "cardinality_ratio", "avg_char_len")], "col_type")
 
 
-_FD = """smp AS (SELECT * FROM cells WHERE rowid < 5000 AND table_id IN (1, 5, 7, 9)), cs AS (SELECT table_id, colid, count(*) AS n, count(DISTINCT token) AS d, avg(CASE WHEN rowid < 200 THEN CAST(regexp_matches(token, '\\D') AS INT) END) >= 0.5 AS txt FROM smp GROUP BY 1, 2),
+_FD = """smp AS (SELECT * FROM cells WHERE rowid < 5000), cs AS (SELECT table_id, colid, count(*) AS n, count(DISTINCT token) AS d, avg(CASE WHEN rowid < 200 THEN CAST(regexp_matches(token, '\\D') AS INT) END) >= 0.5 AS txt FROM smp GROUP BY 1, 2),
 ks AS (SELECT * FROM cs WHERE d >= 10 AND d / n >= 0.9),
 fd AS (SELECT table_id, key, value, sum(top) / sum(n) AS confidence FROM (SELECT table_id, key, value, k, max(c) AS top, sum(c) AS n FROM (SELECT a.table_id, a.colid AS key, b.colid AS value, a.token AS k, b.token AS v, count(*) AS c FROM smp a JOIN ks ON ks.table_id = a.table_id AND ks.colid = a.colid JOIN smp b ON b.table_id = a.table_id AND b.rowid = a.rowid AND b.colid <> a.colid GROUP BY ALL) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3)""".replace("\\\\", "\\")
 
 
-def _fd_cells(spark, d) -> DataFrame:
-    return lake(spark, d).by_row().where("table_id in (1, 5, 7, 9)")
-
-
 @query(with_cells("SELECT table_id, key, value, round(confidence, 6) AS confidence FROM fd", _FD))
 def fd_confidence(spark, d):
-    return profiling.dependencies(_fd_cells(spark, d)).withColumn("confidence", F.round("confidence", 6))
+    return profiling.dependencies(lake(spark, d).by_row()).withColumn("confidence", F.round("confidence", 6))
 
 
 @query(with_cells("SELECT table_id, key, value, round(confidence, 6) AS confidence FROM (SELECT fd.*, row_number() OVER (PARTITION BY fd.table_id ORDER BY a.txt DESC, a.d / a.n DESC, key, round(confidence, 3) DESC, b.txt DESC, b.d DESC, value) AS r FROM fd JOIN ks a ON a.table_id = fd.table_id AND a.colid = key JOIN cs b ON b.table_id = fd.table_id AND b.colid = value WHERE confidence >= 0.95 AND b.d >= 2) WHERE r = 1", _FD))
 def key_value_pairs(spark, d):
-    return profiling.key_value_pairs(_fd_cells(spark, d)).withColumn("confidence", F.round("confidence", 6))
+    return profiling.key_value_pairs(lake(spark, d).by_row()).withColumn("confidence", F.round("confidence", 6))
 
 
 _WANT = [(6, 1, 1, 0), (4, 0, 6, 0), (1, 2, 5, 0), (9, 2, 5, 0), (5, 2, 8, 0), (5, 9, 8, 0), (77, 0, 1, 0), (1, 4, 7, 2)]
