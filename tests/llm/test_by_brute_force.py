@@ -570,6 +570,8 @@ def test_pipeline(spark, tmp_path):
     rows[5] = (5, rows[5][1] + "\n" + bench, "en", "s0", 0)
     rows.append((70, rows[0][1].replace("\n", " ").replace("word7", "xx7"), "en", "s0", 0))
     rows.append((71, rows[0][1].replace("\n", " ").replace("word9 ", "yy9 "), "en", "s0", 0))
+    # One id with two texts, of which one is a copy and goes, and a row without an id that has a benchmark text.
+    rows += [(90, rows[9][1] + " end", "en", "s1", 0), (90, text(), "en", "s1", 0), (None, text() + "\n" + bench, "en", "s2", 0)]
     rows += [(80, "too short", "en", "s1", 9), (81, None, None, None, None), (82, rows[3][1], "en", "s1", 0)]
     d = str(tmp_path)
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
@@ -582,7 +584,9 @@ def test_pipeline(spark, tmp_path):
         seen.append({x.doc_id for x in docs.collect()})
         assert name == "mix" or docs.columns == p.COLUMNS
     good, lined, near, clean, mixed = seen
+    assert None in near and None not in clean
+    assert [r.text for r in spark.read.parquet(f"{d}/near_dedup").where("doc_id = 90").collect()] == [next(t for i, t, *_ in rows if i == 90 and not t.endswith(" end"))]
     assert not good & {80, 81} and set(range(60)) <= good
     assert lined >= set(range(60)) and 70 in near | {0} and len(near & {70, 71}) <= 1
-    assert near - clean == {5} and mixed == clean
+    assert near - clean == {5, None} and mixed == clean
     assert {x.doc_id for x in p.run(spark, d).collect()} == mixed

@@ -38,11 +38,11 @@ def query_windows(items: DataFrame, width: int, *, id_col: str = "item_id", text
 
 def build_index(store: Scratch, docs: DataFrame, vocabulary: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Postings ``rid, tid, pos, doc_id`` of the terms in ``vocabulary(term, tid)``; the sentinel's
-    (tid -1) has the number of terms as ``pos`` and alone carries ``doc_id``."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.concat(terms(F.col(text_col)), F.array(F.lit(SENTINEL))).alias("_t"))
-    rows = rows.select("rid", "doc_id", F.posexplode("_t").alias("pos", "term"))
+    (tid -1) has the number of terms as ``pos`` and alone carries ``doc_id`` and ``th``, a hash of the text."""
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.concat(terms(F.col(text_col)), F.array(F.lit(SENTINEL))).alias("_t"))
+    rows = rows.select("rid", "doc_id", "th", F.posexplode("_t").alias("pos", "term"))
     hits = attach(rows, vocabulary, ["term"])
-    return store.cut(hits.select("rid", F.col("tid").cast("int"), "pos", F.when(F.col("tid") == -1, F.col("doc_id")).alias("doc_id")), "index")
+    return store.cut(hits.select("rid", F.col("tid").cast("int"), "pos", *[F.when(F.col("tid") == -1, F.col(c)).alias(c) for c in ("doc_id", "th")]), "index")
 
 
 def search(store: Scratch, index: DataFrame, window_terms: DataFrame, slop: int = 0) -> DataFrame:
@@ -80,7 +80,8 @@ def search(store: Scratch, index: DataFrame, window_terms: DataFrame, slop: int
 
 
 def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, *, width: int = 8, min_items: int = 2, slop: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` for every row of ``docs``."""
+    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_hash`` for every row of
+    ``docs``; with the hash (``xxhash64``) rows that repeat an id can be told apart."""
     store = Scratch(spark, "decontam")
     grams = store.cut(query_windows(items, width), "grams")
     # Windows and terms are named by rank; both tables grow with the benchmark, not with the corpus.
@@ -91,7 +92,7 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, *, wid
     window_terms = store.cut(flat.join(names, "term").select("wid", "off", "tid"), "window_terms")
     index = build_index(store, docs, names, id_col=id_col, text_col=text_col)
     found = store.cut(search(store, index, window_terms, slop), "found")
-    docs_of = store.cut(index.where("tid = -1").select("rid", "doc_id", F.col("pos").cast("long").alias("n_words")), "lengths")
+    docs_of = store.cut(index.where("tid = -1").select("rid", "doc_id", F.col("th").alias("text_hash"), F.col("pos").cast("long").alias("n_words")), "lengths")
     store.keep("found", "lengths", "grams", "windows")
 
     lengths = windows.select("wid", F.size("grams").alias("len"))
@@ -107,5 +108,5 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, *, wid
     items_col = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
         "doc_id", "n_words", F.least(F.coalesce("n_hit", F.lit(0).cast("long")), F.col("n_words")).alias("n_hit"), F.size(items_col).cast("long").alias("n_items"),
-        F.sha2(F.array_join(items_col, ","), 256).alias("items_sha256"), (F.size(items_col) >= min_items).alias("contaminated"),
+        F.sha2(F.array_join(items_col, ","), 256).alias("items_sha256"), (F.size(items_col) >= min_items).alias("contaminated"), "text_hash",
     )

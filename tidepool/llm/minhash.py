@@ -48,7 +48,7 @@ _A = mix(np.arange(1, PERMS + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 _B = mix(np.arange(1, PERMS + 1, dtype=U) * U(0xC2B2AE3D27D4EB4F))
 _BAND = mix(np.arange(1, BANDS + 1, dtype=U))
 
-SIGNATURES = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, packed array<long>"
+SIGNATURES = "doc_id long, text_hash long, n_shingles long, s1 long, s2 long, bands array<long>, packed array<long>"
 SETS = "s1 long, s2 long, shingles array<long>"
 
 
@@ -102,8 +102,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 packed.append(np.zeros(0, np.int64))
         s = np.frombuffer(b"".join(sig), dtype=np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(s[:, 0]), pa.array(s[:, 1]), lists(bands), lists(packed)],
-            names=["doc_id", "n_shingles", "s1", "s2", "bands", "packed"],
+            [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(n, pa.int64()), pa.array(s[:, 0]), pa.array(s[:, 1]), lists(bands), lists(packed)],
+            names=["doc_id", "text_hash", "n_shingles", "s1", "s2", "bands", "packed"],
         )
     tidy()
 
@@ -146,14 +146,15 @@ def estimate(found: Column) -> Column:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``; links have
-    ``100 * intersection >= percent * union``."""
+    """``doc_id, n_shingles, component_id, text_hash, kept`` for every row of ``docs``; links have
+    ``100 * intersection >= percent * union``. With the hash (``xxhash64``) rows that repeat an id can
+    be told apart."""
     store = Scratch(spark, "minhash")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sig = store.cut(rows.mapInArrow(_signatures, SIGNATURES), "signatures")
+    sig = store.cut(rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_signatures, SIGNATURES), "signatures")
     # A class is a set of shingles; its name is the smallest doc_id that has it (null if none).
     names = dealt(sig.where("n_shingles > 0"), ["s1", "s2"], F.min("doc_id").alias("cls"))
-    member = store.cut(sig.select("doc_id", "n_shingles", "s1", "s2").join(names, ["s1", "s2"], "left"), "member")
+    member = store.cut(sig.select("doc_id", "text_hash", "n_shingles", "s1", "s2").join(names, ["s1", "s2"], "left"), "member")
     reps = names.where("cls is not null").join(sig.select("s1", "s2", F.col("doc_id").alias("cls"), "n_shingles", "bands", "packed"), ["s1", "s2", "cls"])
     reps = store.cut(reps.dropDuplicates(["s1", "s2"]).select("cls", "s1", "s2", F.col("n_shingles").alias("n"), "bands", "packed"), "reps")
     store.drop("signatures")
@@ -191,7 +192,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
     more = store.cut(_similar(_likely(cross, reps, percent).select("a", "b"), sets, percent), "links")
 
     named = member.join(components(store, links.union(more), "cc").select(F.col("node").alias("cls"), "component"), "cls", "left")
-    out = store.cut(named.select("doc_id", "n_shingles", F.coalesce("component", "cls", "doc_id").alias("component_id")), "result")
+    out = store.cut(named.select("doc_id", "n_shingles", F.coalesce("component", "cls", "doc_id").alias("component_id"), "text_hash"), "result")
     store.keep("result")
     return out.withColumn("kept", F.col("component_id").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 

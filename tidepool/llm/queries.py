@@ -23,7 +23,7 @@ def op2_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(spark, table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
