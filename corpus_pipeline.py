@@ -26,11 +26,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return out.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose id is not in ``ids``: these are counted and then broadcast, or both sides are dealt
-    by id (ids are unique, so none is hot)."""
-    gone = ids.where("doc_id is not null").select("doc_id").distinct()
-    return attach(docs, gone, ["doc_id"], "left_anti", salted=False).select(*COLUMNS)
+def _without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Rows whose id and text are not in ``verdicts``: an id may be null or repeat, and a verdict is on
+    one text. They are counted and then broadcast, or both sides are dealt out (no key is hot)."""
+    gone = verdicts.select("doc_id", "text_hash").distinct()
+    return attach(docs.withColumn("text_hash", F.xxhash64("text")), gone, ["doc_id", "text_hash"], "left_anti", salted=False).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with an exact phrase of eight words of any benchmark item go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontam.contamination(spark, docs, items, min_items=1).where("contaminated"))
+    return _without(docs, decontam.contamination(spark, docs, items).where("n_hit > 0"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
