@@ -38,6 +38,7 @@ def _op2() -> str:
     classes = ", ".join(f"length(regexp_replace(t, '{p}', '', 'g'))" for p in outside)
     common = " ".join(f"WHEN '{g}' THEN [{', '.join(chr(39) + w + chr(39) for w in ws)}]" for g, ws in quality.COMMON.items())
     known = ", ".join(f"'{g}'" for g in quality.COMMON)
+    given = ", ".join(f"('{k[0]}', '{g}', {i}, {n})" for g, ref in quality.REFERENCES.items() for k, ns in ref.items() for i, n in enumerate(ns, 1))
     blank = r"length(t) - length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents),
@@ -52,12 +53,12 @@ hits AS (SELECT rid, list_position(CASE lang {common} END, lower(word)) AS i FRO
 wn AS (SELECT rid, CASE WHEN i IS NULL OR i = 0 THEN 25 ELSE i END AS i, count(*) AS n FROM hits GROUP BY ALL),
 wo AS (SELECT d.rid, d.lang, x.i, coalesce(wn.n, 0) AS n FROM d CROSS JOIN range(1, 26) x(i) LEFT JOIN wn ON wn.rid = d.rid AND wn.i = x.i WHERE d.lang IN ({known})),
 bo AS (SELECT 'c' AS kind, rid, lang, i, n FROM ch UNION ALL SELECT 'w', rid, lang, i, n FROM wo),
-refs AS (SELECT kind, lang, i, sum(n) / sum(sum(n)) OVER (PARTITION BY kind, lang) AS q FROM bo WHERE lang IN ({known}) GROUP BY kind, lang, i),
+refs AS (SELECT kind, lang, i, n / CAST(sum(n) OVER (PARTITION BY kind, lang) AS DOUBLE) AS q FROM (VALUES {given}) x(kind, lang, i, n)),
 p AS (SELECT kind, rid, lang, i, CASE WHEN sum(n) OVER (PARTITION BY kind, rid) > 0 THEN n / CAST(sum(n) OVER (PARTITION BY kind, rid) AS DOUBLE) END AS p FROM bo),
 js AS (SELECT p.kind, p.rid, p.lang AS mine, refs.lang AS theirs,
     sqrt(greatest(0.0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)) AS js
   FROM p JOIN refs ON refs.kind = p.kind AND refs.i = p.i WHERE p IS NOT NULL GROUP BY ALL),
-best AS (SELECT rid, min(CASE WHEN kind = 'c' AND (mine = theirs OR mine IS NULL OR mine NOT IN ({known})) THEN js END) AS cj, min(CASE WHEN kind = 'w' AND mine = theirs THEN js END) AS wj FROM js GROUP BY rid),
+best AS (SELECT rid, min(CASE WHEN kind = 'c' AND mine = theirs THEN js END) AS cj, min(CASE WHEN kind = 'w' AND mine = theirs THEN js END) AS wj FROM js GROUP BY rid),
 o AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
