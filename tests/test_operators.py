@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepool.functions.vectors import code, normalise
-from tidepool.operators import imputation, metrics, profiling, rollup, vectors
+from tidepool.operators import augment, imputation, metrics, profiling, rollup, vectors
 from tidepool.plans import nodes as N
 from tidepool.plans.planner import Engine
 
@@ -223,6 +223,8 @@ def test_command_line(spark, tmp_path, capsys):
     main(["keyword", *base, "--values", "foo,bar"])
     main(["union", *base, "--table", "b.csv"])
     main(["types", *base])
+    main(["rows", *base, "--values", "foo,1;bar,2"])
+    main(["correlation", *base, "--values", "foo,3;bar,5"])
     out = capsys.readouterr().out
     assert "5 cells of 2 tables; copies agree: True" in out and "a.csv" in out
 
@@ -258,3 +260,39 @@ def test_munkres_query_has_all_vectors(spark, embedded):
         want = sum(cos[i, j] for i, j in rollup.assignment(np.where(cos > 0.1, cos, 0.0)) if cos[i, j] > 0.1)
         assert abs(got.pop(t) - want) < 1e-6
     assert not got
+
+
+def test_augmentation(spark):
+    query = spark.createDataFrame([("x", 1), ("y", 2), (None, 3)], "name string, size int")
+    found = spark.createDataFrame([("q", "x", 1.0, None), ("q", "x", 3.0, None), ("r", "x", 3.0, None), ("p", "z", None, None), ("s", None, 9.0, None)], "tag string, label string, v double, none string")
+    assert augment.best_columns(query, found) == {"name": "label", "size": "tag"}
+    both = augment.union_by_overlap(query, found)
+    assert both.dtypes == query.dtypes and both.count() == 8 and both.where("name = 'x' and size is null").count() == 3
+    rows = {r.label: r[1:] for r in augment.modes(found, "label").collect()}
+    assert rows == {"x": ("q", 3.0, None), "z": ("p", None, None)}
+    tie = spark.createDataFrame([(1, 10), (1, 9), (1, None), (1, None), (1, None)], "k int, v int")
+    assert [tuple(r) for r in augment.modes(tie, "k").collect()] == [(1, 9)]
+    wide = {r.name: r for r in augment.join_modes(query, "name", found).collect()}
+    assert wide["x"].tag_join == "q" and wide["y"].tag_join is None and wide[None].v_join is None and len(wide) == 3
+    mean = augment.join_means(query.withColumn("v", F.lit(0)), "name", found)
+    assert mean.columns == ["name", "size", "v", "v_correlation"]
+    assert {r.name: r.v_correlation for r in mean.collect()} == {"x": pytest.approx(7 / 3), "y": None, None: None}
+    assert augment.join_means(query, "name", found.limit(0)).count() == 3 and augment.union_by_overlap(query.limit(0), found.limit(0)).count() == 0
+
+
+def test_own_table_is_dropped(spark, tiny):
+    from tidepool.plans import adapters, tasks
+
+    run = spark.createDataFrame([(7, i, x) for i, x in enumerate([5, 7, 6, 8])] + [(9, 0, 9)], "query long, rank int, item long")
+    own = spark.createDataFrame([(7, 7), (9, 9)], "query long, item long")
+    assert sorted(tuple(r) for r in adapters.without_self(run, own, 2).collect()) == [(7, 0, 5), (7, 1, 6)]
+    frame = {i: tiny.frames[n] for i, n in enumerate(tiny.names)}
+    plans = {i: (lambda k, i=i: tasks.union_search(frame[i], k)) for i in (0, 1, 3)}
+    truth = spark.createDataFrame([(0, 1), (0, 0), (1, 0), (1, 2), (3, 99), (2, 1)], "query int, item int")
+    rows, mean = adapters.evaluate(Engine(tiny), plans, truth, 2)
+    got = {r.query: r for r in rows.collect()}
+    assert set(got) == {0, 1} and (mean["evaluated"], mean["skipped"], mean["total_queries"]) == (2, 1, 3)
+    assert (got[0].n_relevant, got[0].hits, got[0].recall, got[0].reciprocal_rank) == (1, 1, 1.0, 1.0)
+    assert got[1].n_relevant == 2 and got[1].runtime_ms > 0 and mean["mrr"] > 0
+    none, mean = adapters.evaluate(Engine(tiny), {}, truth, 2)
+    assert none.count() == 0 and mean["map"] == 0.0

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from .functions.tokens import signature, token, tokens_of
 from .functions.vectors import code, normalise
-from .operators import encoders, imputation, metrics, profiling, rollup, seekers, setops, vectors
+from .operators import augment, encoders, imputation, metrics, profiling, rollup, seekers, setops, vectors
 from .operators.filters import IdFilter
-from .plans import correctness, costs, experiments, tasks
+from .plans import adapters, correctness, costs, experiments, tasks
 from .plans import nodes as N
 from .plans.plan import Plan
 from .plans.planner import Engine, Options
@@ -656,6 +656,48 @@ def condensed_recall(spark, d):
     return metrics.condensed_recall(labelled_pairs(spark, d))
 
 
+@query(f"""WITH {_RUN}, f AS (SELECT query, item, rank - 1 AS rank, rel FROM j WHERE rank BETWEEN 1 AND 10), h AS (SELECT *, sum(rel) OVER (PARTITION BY query ORDER BY rank) AS hits FROM f)
+SELECT n.query, any_value(n_rel) AS n_relevant, count(h.rank) AS n_retrieved, CAST(coalesce(sum(rel), 0) AS BIGINT) AS hits, round(coalesce(sum(rel), 0) / 10, 6) AS precision, round(coalesce(sum(rel), 0) / any_value(n_rel), 6) AS recall,
+  round(coalesce(sum(rel * hits / (rank + 1)), 0) / any_value(n_rel), 6) AS ap, round(coalesce(1 / min(CASE WHEN rel = 1 THEN rank + 1 END), 0), 6) AS reciprocal_rank, CAST(coalesce(sum(rel), 0) > 0 AS DOUBLE) AS hit
+FROM n LEFT JOIN h ON h.query = n.query GROUP BY 1""")
+def self_drop_scores(spark, d):
+    """Each query's own item is the first of its run here."""
+    run, truth = run_and_truth(spark, d)
+    out = adapters.scores(adapters.without_self(run, run.where("rank = 0"), 10), truth, 10)
+    return out.select("query", "n_relevant", "n_retrieved", F.col("hits").cast("long").alias("hits"), *[F.round(c, 6).alias(c) for c in ("precision", "recall", "ap", "reciprocal_rank", "hit")])
+
+
+@query("SELECT p_brand AS brand, p_type AS kind FROM part UNION ALL SELECT p_brand, p_type FROM part")
+def augment_union(spark, d):
+    part = read(spark, d, "part")
+    return augment.union_by_overlap(part.select(F.col("p_brand").alias("brand"), F.col("p_type").alias("kind")), part)
+
+
+@query("""WITH q AS (SELECT DISTINCT o_orderpriority AS priority FROM orders), s AS (SELECT o_orderpriority AS p, o_orderstatus AS v, count(*) AS n FROM orders GROUP BY ALL), c AS (SELECT o_orderpriority AS p, o_custkey AS v, count(*) AS n FROM orders GROUP BY ALL)
+SELECT priority, (SELECT v FROM s WHERE p = priority ORDER BY n DESC, v LIMIT 1) AS o_orderstatus_join, (SELECT v FROM c WHERE p = priority ORDER BY n DESC, v LIMIT 1) AS o_custkey_join FROM q""")
+def augment_modes(spark, d):
+    orders = read(spark, d, "orders")
+    return augment.join_modes(orders.select(F.col("o_orderpriority").alias("priority")).distinct(), "priority", orders.select("o_orderstatus", "o_orderpriority", "o_custkey"))
+
+
+@query("SELECT p_brand, round(avg(p_size), 6) AS p_size, round(avg(p_retailprice), 4) AS p_retailprice FROM part GROUP BY 1")
+def augment_means(spark, d):
+    part = read(spark, d, "part")
+    out = augment.join_means(part.select("p_brand").distinct(), "p_brand", part.select("p_type", "p_brand", "p_size", "p_retailprice"))
+    return out.select("p_brand", F.round("p_size", 6).alias("p_size"), F.round("p_retailprice", 4).alias("p_retailprice"))
+
+
+@query("""WITH reg AS (SELECT p_brand AS query_table, p_size % 3 AS query_column, p_type AS candidate_table, p_size % 6 AS n_inter, (p_size % 6) / 5.0 AS cont_q2x, p_partkey AS row_idx, p_size % 3 = 0 AS numeric_q FROM part WHERE p_size % 7 <> 0),
+b AS (SELECT * FROM reg QUALIFY row_number() OVER (PARTITION BY query_table, query_column, candidate_table ORDER BY cont_q2x DESC, n_inter DESC, row_idx) = 1), prs AS (SELECT p_brand AS query_table, p_size % 3 AS query_column, p_type AS candidate_table, p_partkey % 13 - 1 AS rank FROM part)
+SELECT query_table, query_column, candidate_table, rank, n_inter, round(cont_q2x, 6) AS cont_q2x FROM prs LEFT JOIN b USING (query_table, query_column, candidate_table)""")
+def table_level_labels(spark, d):
+    p = read(spark, d, "part").withColumn("query_column", F.col("p_size") % 3)
+    keys = [F.col("p_brand").alias("query_table"), "query_column", F.col("p_type").alias("candidate_table")]
+    reg = p.where("p_size % 7 <> 0").select(*keys, (F.col("p_size") % 6).alias("n_inter"), ((F.col("p_size") % 6) / 5.0).alias("cont_q2x"), F.lit(0.0).alias("cont_x2q"), F.col("p_partkey").alias("row_idx"), (F.col("p_size") % 3 == 0).alias("numeric_q"), F.lit("ok").alias("status"))
+    out = metrics.labelled_by_table(p.select(*keys, (F.col("p_partkey") % 13 - 1).alias("rank")), reg)
+    return out.select("query_table", "query_column", "candidate_table", "rank", "n_inter", F.round("cont_q2x", 6).alias("cont_q2x"))
+
+
 @query(f"WITH {_RUN} SELECT t.query, t.item, coalesce(j.rank, -1) AS rank FROM tru t LEFT JOIN j ON j.query = t.query AND j.item = t.item")
 def hit_pairs(spark, d):
     run, truth = run_and_truth(spark, d)
