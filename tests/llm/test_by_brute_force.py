@@ -189,6 +189,16 @@ def test_proximity(spark, docs):
     assert exact == {1: 1, 2: 0, 3: 0, 4: 0} and near == {1: 1, 2: 1, 3: 0, 4: 0}
 
 
+def test_proximity_at_the_beginning(spark):
+    """The rarest term stands before its place in the window, so the window would start before the text."""
+    d = spark.createDataFrame([(1, "alpha gamma beta"), (2, "alpha beta alpha beta")], "doc_id long, text string")
+    items = spark.createDataFrame([("a", "alpha beta gamma")], "item_id string, text string")
+    near = decontam.contamination(spark, d, items, width=3, min_items=1, slop=2)
+    assert {r.doc_id: (r.contaminated, r.n_hit <= r.n_words) for r in near.collect()} == {1: (True, True), 2: (False, True)}
+    exact = decontam.contamination(spark, d, items, width=3, min_items=1)
+    assert not exact.where("contaminated").count()
+
+
 def test_line_chunks(spark, docs):
     rows = varied(7, 90)
     d = docs(rows)

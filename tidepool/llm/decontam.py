@@ -58,7 +58,8 @@ def search(store: Scratch, index: DataFrame, window_terms: DataFrame, slop: int
     def starts(rank: int) -> DataFrame:
         return attach(postings, ranked.where(F.col("r") == rank).select("tid", "wid", "off", "n"), ["tid"]).select("rid", "wid", "n", (F.col("pos") - F.col("off")).alias("start"))
 
-    first = starts(1).where("start >= 0")
+    # With reach, a match at the beginning of a text may have its rarest term earlier than its offset.
+    first = starts(1).where(F.col("start") >= -slop)
     if slop == 0:
         second = starts(2).select("rid", "wid", "start")
         found = first.where("n = 1").union(first.where("n > 1").join(second, ["rid", "wid", "start"], "left_semi").select(*first.columns))
