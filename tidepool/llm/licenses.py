@@ -2,17 +2,16 @@
 
 Every line of a file is a possible header, every line of a licence file a possible notice. A licence
 file's neighbouring lines are also compared as one, and its joined lines with full notices. A line and
-a template are compared by the cosine of their TF-IDF vectors; the weights come from the templates
-(everyday words have a small fixed one), and terms of no template weigh as much as a term that no
-template has. Variants (Lesser, NonCommercial) must be the template's, and version numbers among the
+a template are compared by the cosine of their TF-IDF vectors; the weights come from the templates,
+and terms of no template weigh as much as a term that no template has. Variants (Lesser, NonCommercial) must be the template's, and version numbers among the
 line's, so another version or variant is not taken for it. A file's own licence is the
 template of its best line at ``threshold`` or more (ties: the first name). A file without one inherits
 from the licence file in its nearest ancestor directory (its own directory included; of several in
 one directory, the one with the smallest id).
 
-Scale: lines are scored in their rows. Only lines with a telling term are scored: without any of a
-template's telling terms no line can reach the threshold, because the remaining weights are too
-small, so the filter loses nothing. Ancestors are exploded (one row for each directory above a file)
+Scale: lines are scored in their rows. Only lines with a telling term are scored, which for a template
+with version numbers have one of these besides: without any of a template's telling terms no line can
+reach the threshold, because the remaining weights are too small, so the filter loses nothing. Ancestors are exploded (one row for each directory above a file)
 and joined with one row for each licensed directory, which is counted and then broadcast or salted,
 so a directory with a third of all files is spread over tasks.
 
@@ -36,17 +35,17 @@ from ._text import let
 
 # Usual notices and titles of well-known licences, as they stand in a line.
 TEMPLATES = {
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License, version 3.", "GNU Affero General Public License, version 3, 19 November"],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "Apache License", "Apache License, Version 2.0, January"],
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License, version 3.", "GNU Affero General Public License, version 3", "GNU Affero General Public License, version 3, 19 November 2007"],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "Apache License", "Apache License, Version 2.0, January 2004"],
     "BSD-3-Clause": ["Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Creative Commons Attribution 4.0 International"],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Creative Commons Attribution-NonCommercial 4.0 International"],
     "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International"],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Creative Commons Attribution-ShareAlike 4.0 International"],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 2.", "GNU General Public License, version 2, June"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3.", "GNU General Public License, version 3, 29 June"],
-    "LGPL-2.1": ["This work is licensed under the GNU Lesser General Public License, version 2.1.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License, version 2.1.", "GNU Lesser General Public License, version 2.1, February"],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License, version 3.", "GNU Lesser General Public License, version 3, 29 June"],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 2.", "GNU General Public License, version 2", "GNU General Public License, version 2, June 1991"],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3.", "GNU General Public License, version 3", "GNU General Public License, version 3, 29 June 2007"],
+    "LGPL-2.1": ["This work is licensed under the GNU Lesser General Public License, version 2.1.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License, version 2.1.", "GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License, version 2.1, February 1999"],
+    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License, version 3.", "GNU Lesser General Public License, version 3", "GNU Lesser General Public License, version 3, 29 June 2007"],
     "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software under the MIT License.", "MIT License"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Mozilla Public License, version 2.0"],
 }
@@ -67,9 +66,9 @@ NOTICES = {
     "MIT": ['Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
 }
-# Words that many lines have, and their weight.
+# Words that many lines have. They weigh what their TF-IDF says; the exact filter on lines
+# only prefers other words to them.
 EVERYDAY = frozenset("a an and any be can file for found in is it may not of on or subject that the this to under use with work you".split())
-EVERYDAY_WEIGHT = 0.3
 # Terms that tell a licence from its variants: a line has all and only those of the template.
 VARIANTS = ("affero", "lesser", "nc", "nd", "noderivatives", "noncommercial", "sa", "sharealike")
 # Version numbers: a line has all of the template's.
@@ -85,11 +84,13 @@ class Model:
         self.threshold = threshold
         rows = [(name, Counter(re.findall(_TERM, t.lower()))) for name, texts in templates.items() for t in texts]
         df = Counter(t for _, tf in rows for t in tf)
-        idf = lambda t: EVERYDAY_WEIGHT if t in EVERYDAY else math.log((1 + len(rows)) / (1 + df[t])) + 1
-        self.idf, self.other = {t: idf(t) for t in (*df, *sorted(EVERYDAY - set(df)))}, math.log(1 + len(rows)) + 1
+        self.idf, self.other = {t: math.log((1 + len(rows)) / (1 + n)) + 1 for t, n in df.items()}, math.log(1 + len(rows)) + 1
         self.rows = []
         self.needs: list[tuple[list[str], list[str]]] = []
+        # Terms of which a line has one, and those that it must have one of besides.
         self.telling: set[str] = set()
+        self.guarded: set[str] = set()
+        self.guards: set[str] = set()
         for name, tf in rows:
             w = {t: n * self.idf[t] for t, n in tf.items()}
             norm = math.sqrt(sum(v * v for v in w.values()))
@@ -98,11 +99,23 @@ class Model:
             # A title is as short as a name, so a line must have all of it.
             short = len(tf) <= 2
             self.needs.append((sorted(t for t in VARIANTS if t in tf), sorted(t for t in tf if t in VERSIONS or short)))
-            # Heaviest first, until what is left cannot reach the threshold.
-            for t in sorted(w, key=lambda t: (-w[t], t)):
-                if math.sqrt(sum(v * v for u, v in w.items() if u not in self.telling)) < threshold:
+            needed = self.needs[-1][1]
+            if short:
+                self.telling.add(min(needed, key=lambda t: (-w[t], t)))
+                continue
+            # Words that few lines have first, the heaviest of them first, until what is left cannot
+            # reach the threshold. A template with version numbers also needs one of these.
+            into = self.guarded if needed else self.telling
+            self.guards.update(needed)
+            for t in sorted(set(w) - set(needed), key=lambda t: (t in EVERYDAY, -w[t], t)):
+                if math.sqrt(sum(v * v for u, v in w.items() if u not in into)) < threshold:
                     break
-                self.telling.add(t)
+                into.add(t)
+
+    def likely(self, line: Column) -> Column:
+        """False only for lines that no template can match."""
+        some = lambda terms, of: F.exists(terms, lambda t: t.isin(sorted(of)))
+        return let(_terms(line), lambda x: some(x, self.telling) | (some(x, self.guards) & some(x, self.guarded)))
 
     def score(self, line: Column) -> Column:
         """Array of the line's cosines, one for each template."""
@@ -130,7 +143,7 @@ class Model:
     def best(self, lines: Column) -> Column:
         """``struct(score, name)`` of the best template over all lines; null below the threshold."""
         names = F.array(*[F.lit(name) for name, _ in self.rows])
-        likely = F.filter(lines, lambda x: F.exists(_terms(x), lambda t: t.isin(sorted(self.telling))))
+        likely = F.filter(lines, self.likely)
 
         def top(line: Column) -> Column:
             return let(self.score(line), lambda s: F.struct(F.round(F.array_max(s), 9).alias("score"), F.get(names, F.array_position(s, F.array_max(s)).cast("int") - 1).alias("name")))
