@@ -77,6 +77,33 @@ def test_nearest_and_engine(spark, tiny):
     assert vectors.bad_vectors(v).count() == 0
 
 
+def test_nearest_in_blocks(spark, monkeypatch):
+    """Several blocks of queries and vectors, copies that tie, a missing vector, one without a number and one of
+    another width: the same rows as by comparing each pair; the pairs themselves are no rows."""
+    monkeypatch.setattr(vectors, "MOST", (7, 20))
+    monkeypatch.setattr(vectors, "PRODUCT", (3, 6))
+    rng = np.random.default_rng(2)
+    m = rng.standard_normal((90, 6)).round(1)
+    m[10:60:3] = m[10]
+    rows = [(i, i % 4, i, m[i].tolist()) for i in range(90)] + [(90, 3, 90, None), (91, 3, 91, [1.0, None] * 3), (92, 3, 92, [1.0, 2.0]), (93, 3, 93, [float("nan")] * 6)]
+    v = spark.createDataFrame(rows, "global_id long, table_id int, colid int, embedding array<double>")
+    q = v.where("global_id < 30").select(F.col("colid").alias("query_col"), F.col("table_id").alias("query_table"), "embedding")
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    dot = lambda a, b: sum((x * y for x, y in zip(a, b, strict=True)), 0.0)
+    for k in (5, 200):
+        found = vectors.nearest(q, v, k)
+        got = {(r.query_col, r.r): (r.global_id, r.similarity) for r in found.collect()}
+        for c in range(30):
+            far = [] if c % 4 == 3 else [90, 91, 92]
+            want = ([] if c % 4 == 3 else [93]) + [int(j) for j in sorted(range(90), key=lambda j: (-round(dot(unit[c], unit[j]), 12), j)) if j % 4 != c % 4] + far
+            assert [got[c, i][0] for i in range(min(k, len(want)))] == want[:k] and (c, len(want)) not in got
+            assert k == 5 or far == [] or [got[c, len(want) - i][1] for i in (1, 2, 3)] == [None] * 3
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    got = vectors.lsh_nearest(q, v.where("global_id < 90"), 5, refine=40)
+    assert vectors.recall(got, vectors.nearest(q, v.where("global_id < 90"), 5)).first().recall == 1.0
+
+
 def test_code_index(spark, tiny):
     raw = tiny.raw("city").union(tiny.raw("beta"))
     codes = vectors.code_index(raw, bits=8)
