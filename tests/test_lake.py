@@ -87,3 +87,20 @@ def test_readers(spark, tmp_path):
     readers.write_run(spark, str(tmp_path / "run"), {"k": 1}, names, names)
     assert readers.storage_audit(spark, str(tmp_path / "run")).count() == 4
     assert readers.slug("a b/c") == "a-b-c"
+
+
+def test_the_index_shuffles_no_cells(spark, tmp_path, monkeypatch):
+    """Both copies are written from rows that were dealt out before they became cells; more cells, more parts."""
+    from tidepool.sources import lake as module
+
+    plans, write = [], Lake._write_by_token
+    monkeypatch.setattr(module, "CELLS_PER_PARTITION", 100)
+    monkeypatch.setattr(Lake, "_write_by_token", lambda self, cells, folder: (plans.append(cells._jdf.queryExecution().executedPlan().toString()), write(self, cells, folder))[1])
+    frame = spark.createDataFrame([(f"w{i % 7}", i) for i in range(1000)], "c string, x int")
+    lake = Lake(spark, {"a": frame}, str(tmp_path / "lake"))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    lake.build()
+    assert plans and "Exchange" not in plans[0] and spark.conf.get("spark.sql.files.maxPartitionBytes") == size
+    assert lake.by_row().count() == 2000 and lake.copies_agree()
+    assert len(list((tmp_path / "lake" / "by_row").rglob("*.parquet"))) >= 20
+    assert [r.rowid for r in lake.by_token().where("token = 'w3'").orderBy("rowid").collect()] == [i for i in range(1000) if i % 7 == 3]

@@ -50,3 +50,31 @@ def test_signature(spark, words):
 def test_covers(spark, row, query, expected):
     df = spark.createDataFrame([(row, 0, query, 0)], "a long, b long, c long, d long")
     assert df.select(covers(F.col("a"), F.col("b"), F.col("c"), F.col("d"))).first()[0] is expected
+
+
+def test_many_signatures_at_once(spark):
+    """``rowkeys`` signs by ``signatures``; both give the same, for odd tokens too."""
+    import pyarrow as pa
+
+    from tidepool.functions.tokens import signatures
+    from tidepool.sources.lake import rowkeys
+
+    toks = ["", "a", "zz top", "ÄÖ ä", "😀b😀", "1.0e10", "x" * 200, "abc-def-abc", "the quick brown fox", "á", "0000001", "mississippi"]
+    df = spark.createDataFrame([(i // 5, i // 2, t) for i, t in enumerate(toks)], "table_id int, rowid long, token string")
+    want = {r.token: tuple(r.s) for r in df.select("token", signature(F.col("token")).alias("s")).collect()}
+    assert list(zip(*(x.tolist() for x in signatures(pa.array(toks))), strict=True)) == [want[t] for t in toks]
+    rows = {}
+    for i, t in enumerate(toks):
+        hi, lo = rows.get((i // 5, i // 2), (0, 0))
+        rows[i // 5, i // 2] = (hi | want[t][0], lo | want[t][1])
+    found = rowkeys(df)
+    assert {(r.table_id, r.rowid): (r.hi, r.lo) for r in found.collect()} == rows
+    assert "lambda" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plain_values_have_the_same_tokens(spark):
+    from tidepool.functions.tokens import plain_token
+
+    df = spark.sql("select * from values (1.5d, 1e10d, float('nan'), -7, true, date'2020-01-02', timestamp'2020-01-02 03:04:05'), (null, -0.0d, float('inf'), null, null, null, null) t(a, b, c, d, e, f, g)")
+    for c in df.columns:
+        assert df.where(~plain_token(F.col(c)).eqNullSafe(token(F.col(c)))).count() == 0
