@@ -44,6 +44,24 @@ def test_munkres(spark):
     assert got == {1: 2.0, 2: 1.0}
 
 
+def test_assignment_without_a_matrix():
+    """The same best assignment as over the matrix of all pairs, of which not half is held at once."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 1), (5, 3), (3, 9), (40, 60)):
+        a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (rng.standard_normal((n, 4)), rng.standard_normal((m, 4))))
+        cos = a @ b.T
+        want = sum(cos[i, j] for i, j in rollup.assignment(np.where(cos > 0.1, cos, 0.0)) if cos[i, j] > 0.1)
+        assert abs(sum(rollup.assigned_cosines(a, b, 0.1)) - want) < 1e-9
+    a = np.eye(600)
+    tracemalloc.start()
+    assert sum(rollup.assigned_cosines(a, a, 0.5)) == 600.0
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 600 * 600 * 8 / 2
+
+
 def test_codes(spark):
     df = spark.createDataFrame([([1.0, -1.0],), ([-1.0, -1.0],), ([0.0, 0.0],)], "v array<double>")
     assert [r[0] for r in df.select(code(F.col("v"), [[1, 0], [0, 1], [1, -1]])).collect()] == [0b101, 0b000, 0b000]
