@@ -307,6 +307,24 @@ def test_munkres_query_has_all_vectors(spark, embedded):
     assert not got
 
 
+def test_legs_align_tables_once(spark, tiny, monkeypatch):
+    """Alignment does not depend on a leg or its depth; voting over the kept answers is ``vote``."""
+    from tidepool.operators import imputation
+    from tidepool.plans import experiments
+
+    count, align = [], imputation.align
+    monkeypatch.setattr(imputation, "align", lambda *a: (count.append(1), align(*a))[1])
+    ex = spark.createDataFrame([("berlin", "germany"), ("rome", "italy")], "k string, v string")
+    tr = spark.createDataFrame([("paris", "france"), ("oslo", "norway")], "k string, v string")
+    got = experiments.imputation_legs(Engine(tiny), ex, tr.select("k"), tr, [1, 3]).collect()
+    assert len(got) == 6 and len(count) == 1
+    ranked = spark.createDataFrame([(2, 0), (1, 1)], "table_id int, rank int")
+    want = imputation.vote(tiny.by_row(), ranked, ex, tr.select("k")).collect()
+    assert imputation.majority(imputation.answers(tiny.by_token(), tiny.by_row(), [1, 2], ex, tr.select("k")), ranked).collect() == want
+    assert {(r.k, r.v) for r in want} == {("paris", "france")}
+    assert imputation.answers(tiny.by_token(), tiny.by_row(), [], ex, tr.select("k")).count() == 0
+
+
 def test_augmentation(spark):
     query = spark.createDataFrame([("x", 1), ("y", 2), (None, 3)], "name string, size int")
     found = spark.createDataFrame([("q", "x", 1.0, None), ("q", "x", 3.0, None), ("r", "x", 3.0, None), ("p", "z", None, None), ("s", None, 9.0, None)], "tag string, label string, v double, none string")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import small
+from .filters import IdFilter
 
 
 def align(cells: DataFrame, examples: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -31,12 +32,28 @@ def mapping(cells: DataFrame, aligned: DataFrame, keys: DataFrame | None = None)
 
 def vote(cells: DataFrame, ranked: DataFrame, examples: DataFrame, masked: DataFrame) -> DataFrame:
     """``k, v, votes`` for each masked key: the value of most candidates, the best ranked on ties."""
-    m = mapping(cells, align(cells, examples, ranked), masked).join(small(ranked.select("table_id", "rank")), "table_id")
+    return majority(mapping(cells, align(cells, examples, ranked), masked), ranked)
+
+
+def majority(mapped: DataFrame, ranked: DataFrame) -> DataFrame:
+    """``vote`` over what each table says, ``(table_id, k, v)``."""
+    m = mapped.join(small(ranked.select("table_id", "rank")), "table_id")
     votes = m.groupBy("k", "v").agg(F.count("*").alias("votes"), F.min("rank").alias("best"))
     w = Window.partitionBy("k").orderBy(F.desc("votes"), "best", "v")
     return votes.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("k", "v", "votes")
 
 
+def answers(by_token: DataFrame, by_row: DataFrame, tables: list[int], examples: DataFrame, masked: DataFrame) -> DataFrame:
+    """``table_id, k, v`` of some tables for the masked keys, at once for all; found again only after a lost
+    executor. The tables and the aligned ones are literal filters, so the scans skip the others."""
+    spark = by_row.sparkSession
+    inside = lambda cells, ids: IdFilter.of(allow=ids).on(cells)
+    aligned = align(inside(by_token, tables), examples, spark.createDataFrame([(t,) for t in tables], "table_id int"))
+    rows = aligned.collect()  # one for each table
+    aligned = spark.createDataFrame([tuple(r) for r in rows], aligned.schema)
+    return mapping(inside(by_row, [r["table_id"] for r in rows]), aligned, masked).persist()
+
+
 def score(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     """``n_keys, n_covered, n_correct, coverage, accuracy``."""
     j = truth.select("k", F.col("v").alias("t")).distinct().join(predicted.select("k", "v"), "k", "left")

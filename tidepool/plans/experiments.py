@@ -116,11 +116,14 @@ def imputation_legs(engine: Engine, examples: DataFrame, keys: DataFrame, truth:
         ex = examples.select(F.lit(0).alias("col"), F.col("k").alias("token")).unionByName(examples.select(F.lit(1).alias("col"), F.col("v").alias("token")))
         if imputation.scan_cost(ex, frequencies).first()["scan_rows"] > largest_scan:
             legs = {"keys": sc}
+    # k_max tables at most of each leg; what a table says of a key does not depend on the leg or its rank.
+    found = {name: engine.ids(node) for name, node in legs.items()}
+    said = imputation.answers(engine.lake.by_token(), engine.lake.by_row(), sorted(set().union(*found.values())), examples, truth.select("k"))
     out = None
-    for name, node in legs.items():
-        ranking = setops.values(spark, engine.ids(node))  # k_max rows at most
+    for name, ids in found.items():
+        ranking = setops.values(spark, ids)
         for k in ks:
-            s = imputation.score(imputation.vote(engine.lake.by_row(), setops.cut(ranking, k), examples, truth.select("k")), truth).select(F.lit(name).alias("leg"), F.lit(k).alias("k"), "*")
+            s = imputation.score(imputation.majority(said, setops.cut(ranking, k)), truth).select(F.lit(name).alias("leg"), F.lit(k).alias("k"), "*")
             out = s if out is None else out.unionByName(s)
     return out if out is not None else spark.createDataFrame([], "leg string, k int")
 
