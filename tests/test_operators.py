@@ -359,3 +359,20 @@ def test_own_table_is_dropped(spark, tiny):
     assert got[1].n_relevant == 2 and got[1].runtime_ms > 0 and mean["mrr"] > 0
     none, mean = adapters.evaluate(Engine(tiny), {}, truth, 2)
     assert none.count() == 0 and mean["map"] == 0.0
+
+
+def test_spearman_loses_no_key_when_means_move(spark):
+    """Means differ each time they are computed, as on a cluster where their parts arrive in any order; no key may be lost."""
+
+    def noisy(batches):
+        for batch in batches:
+            yield batch.assign(value=[v + random.SystemRandom().random() * 1e-9 for v in batch["value"]])
+
+    keys = spark.range(50).select(F.col("id").alias("key"), F.col("id").cast("double").alias("value")).mapInPandas(noisy, "key long, value double")
+    was = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = profiling.spearman(keys, keys).first()
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", was)
+    assert got.n == 50 and got.rho == pytest.approx(1.0)
