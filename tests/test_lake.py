@@ -104,3 +104,25 @@ def test_the_index_shuffles_no_cells(spark, tmp_path, monkeypatch):
     assert lake.by_row().count() == 2000 and lake.copies_agree()
     assert len(list((tmp_path / "lake" / "by_row").rglob("*.parquet"))) >= 20
     assert [r.rowid for r in lake.by_token().where("token = 'w3'").orderBy("rowid").collect()] == [i for i in range(1000) if i % 7 == 3]
+
+
+def test_searches_write_no_more_of_the_index_than_they_read(spark, tmp_path):
+    """First rows, whole scans, the first searches by values and row matches write no copy; a copy is written alone."""
+    from tidepool.operators import profiling, seekers
+    from tidepool.operators.filters import IdFilter
+    from tidepool.sources import lake as module
+
+    root = tmp_path / "lake"
+    a = spark.createDataFrame([(i, f"w{i % 7}", float(i)) for i in range(60)], "k int, c string, x double")
+    lake = Lake(spark, {"a": a, "b": a.limit(5)}, str(root))
+    wrote = lambda: {c for c in ("by_row", "by_token") if (root / c).exists()}
+    assert seekers.correlation(lake, a.select("k", "x")).count() > 0
+    assert profiling.key_value_pairs(lake.first_rows(5000)).count() == 1
+    assert profiling.keywords(lake.cells(), 3).count() == 3 and lake.cells([1]).count() == 15
+    assert seekers.matching(lake, ["w1"], IdFilter.of(allow=[])).count() == 0
+    found = {r.table_id: r.score for r in seekers.multi_column(lake, [("w1", "1"), ("w2", "2")]).collect()}
+    assert found == {0: 2, 1: 2} and wrote() == set()
+    for _ in range(module.PLAIN_READS):
+        assert seekers.matching(lake, ["w1"]).count() == 10
+    assert wrote() == {"by_token"} and not lake.has("by_row") and lake.cells().count() == 195
+    assert lake.by_row().count() == 195 and lake.copies_agree()

@@ -50,6 +50,8 @@ def sound(engine: Engine, node: Intersection) -> bool:
 def compare(engine: Engine, node: Node, arms: Sequence[str] = ARMS) -> DataFrame:
     """``arm`` with retention, additions, changed, distance and overlap of ranks against plain semantics."""
     as_run = lambda df: df.select(F.lit(0).alias("query"), "rank", F.col("table_id").alias("item"))
+    # The arms search the same cells many times.
+    engine.lake.by_token()
     ref = as_run(setops.distinct_tables(run_arm(engine, node, "no_pushdown")))
     out = None
     for a in arms:
