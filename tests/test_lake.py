@@ -126,3 +126,16 @@ def test_searches_write_no_more_of_the_index_than_they_read(spark, tmp_path):
         assert seekers.matching(lake, ["w1"]).count() == 10
     assert wrote() == {"by_token"} and not lake.has("by_row") and lake.cells().count() == 195
     assert lake.by_row().count() == 195 and lake.copies_agree()
+
+
+def test_index_parity_reads_each_copy_once(spark, tiny, monkeypatch):
+    """The copies are compared by what is summed anyway; a difference is an error."""
+    from tidepool import queries
+
+    monkeypatch.setattr(queries, "lake", lambda s, d: tiny)
+    monkeypatch.setattr(Lake, "copies_agree", lambda self: pytest.fail("read again"))
+    assert queries.index_parity(spark, "").count() == 8
+    cells = tiny.by_token()
+    monkeypatch.setattr(Lake, "by_token", lambda self: cells.where("rowid < 3"))
+    with pytest.raises(ValueError):
+        queries.index_parity(spark, "")
